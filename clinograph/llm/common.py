@@ -64,7 +64,7 @@ def utf8(text: str | Column = "text") -> Column:
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch whose strings in `column` hold about `most` bytes together."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced, byte_bpe, jpeg_media, packing, sharding, token_counts
+from . import bitsliced, byte_bpe, jpeg_media, ngram_join, packing, quality, sharding, suffix_dedup, token_counts, warc
 from .common import read
 
 
@@ -22,10 +22,27 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(read(spark, sf_dir, "documents", "doc_id", "text"), n=4, percent=85)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), 400)
+
+
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(read(spark, sf_dir, "documents", "doc_id", "text"), 24)
 
 
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op6_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.media_features(jpeg_media.store_media(read(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -47,7 +64,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_warc": op2_warc,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_histogram_shards": op4_histogram_shards,
+    "op5_quality_trees": op5_quality_trees,
     "op6_jpeg_media": op6_jpeg_media,
     "op7_bitsliced_topk": op7_bitsliced_topk,
     "op8_token_counts": op8_token_counts,
@@ -56,6 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN p.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id > f.first THEN f.first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)""",
     "op7_bitsliced_topk": """
         WITH good AS (
           SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
