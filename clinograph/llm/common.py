@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def utf8(text: str | Column = "text") -> Column:
 
 def slices(batch: pa.RecordBatch, column: str | int, most: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch whose strings in `column` hold about `most` bytes together."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
     start = 0
     while start < batch.num_rows:
@@ -79,7 +80,7 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = KERNEL_BYTES) -
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column in one array, and the row offsets in it; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
-    column = pa.compute.fill_null(column.cast(kind), b"")
+    column = pc.fill_null(column.cast(kind), b"")
     width = np.int64 if kind == pa.large_binary() else np.int32
     offsets = np.frombuffer(column.buffers()[1], dtype=width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]

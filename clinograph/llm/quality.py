@@ -171,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("known_id")).select("known_id", "known_label", F.col(text_col).alias("known_text"))
     table = with_features(rows, ["known_id", "known_label"], None, "known_id", "known_text").toArrow()
     table = table.sort_by([("known_id", "ascending")])
-    x = np.array(table.column("x").to_pylist(), np.float32).reshape(table.num_rows, -1)
-    return fit(x if table.num_rows else np.zeros((0, N_FEATURES), np.float32), table.column("known_label").to_numpy().astype(np.float64))
+    x = np.array(table.column("x").to_pylist(), np.float32).reshape(table.num_rows, N_FEATURES)
+    return fit(x, table.column("known_label").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

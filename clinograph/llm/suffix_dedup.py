@@ -331,3 +331,25 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     itself.  Repeated rows are copies of each other, whatever their ids, and null ids are carried.
     """
     return cut_repeats(docs, length, [id_col], text_col, False)
+
+
+def with_repeats_removed(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the repeated bytes cut out of the text, and was_cut.
+
+    What is left is decoded again; bytes of a character that was cut through are dropped.  Null
+    texts and texts that lose nothing stay as they are.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    cut = cut_repeats(docs.withColumn("cut_text", F.col(text_col)), length, [*others, "cut_text"], "cut_text", True)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, old = batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2)
+            text = [o.as_py() if k is None else k.decode("utf-8", "ignore") for k, o in zip(kept, old)]
+            flags = [k is not None for k in kept]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(others))), pa.array(text, pa.string()), pa.array(flags)], names=[*others, text_col, "was_cut"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, text_col])
+    done = cut.where("kept IS NULL").select(*others, F.col("cut_text").alias(text_col), F.lit(False).alias("was_cut"))
+    changed = cut.where("kept IS NOT NULL").select(*others, "cut_text", "kept").mapInArrow(decode, kinds + ", was_cut boolean")
+    return done.unionByName(changed)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,7 +151,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = [counter(t) for t in texts]
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0)
             schema = pa.schema([("id", batch.schema.field(0).type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
             yield to_arrow(schema, id=batch.column(0), n_bytes=sizes.cast(pa.int64()), n_tokens=counts)
 

@@ -1,7 +1,73 @@
-"""The corpus pipeline: stages over `documents`."""
-STAGES = []
+"""The corpus pipeline: stages over `documents`, each written and read again before the next.
+
+A stage is a function of (spark, docs, sf_dir); docs is what its predecessor kept.  All but the
+last return the columns of documents.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clinograph.llm import ngram_join, packing, quality, suffix_dedup
+from clinograph.llm.common import durable, read
+from clinograph.llm.queries import tokenizer
+
+#: Bytes of a string that the third stage takes for a repeated passage.  A passage of over 50 words
+#: has at least that many bytes at three letters a word and a blank.
+PASSAGE_BYTES = 200
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality trees score at least 0.5, all columns as they were.
+
+    The trees learn from labelled documents of the input that are not held out.  Empty texts are
+    scored like any other; without labels everything is kept.
+    """
+    model = quality.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.keep_good(docs, model)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near copies (five-word n-grams, similarity 0.8) the document of smallest id.
+
+    Groups are what chains of links join.  Rows that repeat a kept id are kept once; documents
+    without words or without an id are in no group and stay.
+    """
+    groups = ngram_join.link_components(docs.select("doc_id", "text"), n=5, percent=80)
+    dropped = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every byte out of the texts that a repeated string of PASSAGE_BYTES bytes covers.
+
+    n_chars follows the text.  A character of which a part would be left goes as a whole; a text
+    that is cut to nothing stays as an empty row, and a null text stays null.
+    """
+    cut = suffix_dedup.with_repeats_removed(docs, PASSAGE_BYTES, "doc_id", "text")
+    return cut.withColumn("n_chars", F.when(F.col("was_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of tokenised documents in sequences of at most 4096 ids; a null text is its end id alone."""
+    return packing.pack(docs.select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", join_near_copies),
+    ("suffix-array dedup", cut_passages),
+    ("packing", pack_sequences),
+]
+
+#: Boosted trees and tokenizers are beyond SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result over the documents of sf_dir."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
