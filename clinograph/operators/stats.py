@@ -150,9 +150,9 @@ def eof(df: DataFrame, modes: int = 3, cell: str = "cell", t: str = "t", v: str
     axis = sorted(set(g["i"]))
     place = {s: k for k, s in enumerate(axis)}
     matrix = np.zeros((len(axis), len(axis)))
-    i, j = g["i"].map(place).to_numpy(), g["j"].map(place).to_numpy()
-    matrix[i, j] = matrix[j, i] = g["g"].to_numpy()
-    values, vectors = np.linalg.eigh(matrix)
+    i, j = g["i"].map(place).to_numpy(int), g["j"].map(place).to_numpy(int)
+    matrix[i, j] = matrix[j, i] = g["g"].to_numpy(float)
+    values, vectors = np.linalg.eigh(matrix) if axis else (np.zeros(0), matrix)  # without a whole cell there is no mode
     order = np.argsort(values)[::-1][: min(modes, len(axis))]
     share = values / values.sum() if values.sum() else values
     scores = [(int(m + 1), axis[k], float(vectors[k, o] * np.sqrt(len(axis))), float(share[o])) for m, o in enumerate(order) for k in range(len(axis))]

@@ -185,7 +185,7 @@ def a12_zonal_profile(spark, sf_dir):
 
 BOX1, BOX2 = (-30.0, 30.0, 300.0, 100.0), (-80.0, -20.0, 0.0, 180.0)
 B1, B2 = "(lat BETWEEN -30 AND 30 AND (lon >= 300 OR lon <= 100))", "(lat BETWEEN -80 AND -20 AND lon BETWEEN 0 AND 180)"
-INDEX = f"idx AS (SELECT t, sum(v * area) FILTER {B1} / sum(area) FILTER {B1} - sum(v * area) FILTER {B2} / sum(area) FILTER {B2} AS i FROM monthly JOIN grid USING (cell) GROUP BY 1)"
+INDEX = f"idx AS (SELECT t, sum(v * area) FILTER {B1} / sum(area) FILTER {B1} - sum(v * area) FILTER {B2} / sum(area) FILTER {B2} AS i FROM monthly JOIN grid USING (cell) WHERE {B1} OR {B2} GROUP BY 1)"
 
 
 def index_series(spark, sf_dir):
