@@ -133,9 +133,9 @@ def merge_points(points: DataFrame, tolerance: float = 1e-6) -> DataFrame:
         hop = after.select(F.col("cell").alias("group"), F.col("group").alias("g3"))
         after = after.join(hop, "group").select("cell", F.col("g3").alias("group"))
         after = after.persist()
-        moved = after.join(groups.withColumnRenamed("group", "old"), "cell").where(F.col("group") < F.col("old")).isEmpty()
+        settled = after.join(groups.withColumnRenamed("group", "old"), "cell").where(F.col("group") < F.col("old")).isEmpty()
         groups = after
-        if moved:
+        if settled:
             return groups
 
 

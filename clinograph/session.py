@@ -1,6 +1,11 @@
 """Local Spark sessions for tests, benchmarks and trials."""
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +27,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the session's Python workers, once, unless PYTHONPATH does so already."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "clinograph_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="clinograph-")
+    target = os.path.join(folder, "clinograph.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.glob("clinograph/**/*.py")):
+            archive.write(file, file.relative_to(root))
+    context.addPyFile(target)
+    context.clinograph_shipped = True
