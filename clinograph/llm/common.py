@@ -1,6 +1,7 @@
 """Helpers that the training-data operators share."""
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -60,6 +61,12 @@ def forget(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of steps whose results are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def utf8(text: str | Column = "text") -> Column:
     """The UTF-8 bytes of a text column; none for null."""
     return F.encode(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "UTF-8")

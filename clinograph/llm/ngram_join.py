@@ -13,6 +13,7 @@ different components that shares a prefix element has been compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import durable, flat_bytes, forget, mix64, slices, to_arrow, utf8
+from .common import durable, flat_bytes, forget, mix64, slices, tidy, to_arrow, utf8
 from .components import contract
 from .words import LOWER, word_hashes, word_spans
 
@@ -122,19 +123,20 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("b"))
+    rows = rows.select("id", F.xxhash64("b").alias("th"), "b")
 
     def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, schema = np.zeros(SKETCH, np.int64), None
         for part, offsets, values in each_set(batches, n):
-            schema = pa.schema([("id", part.schema.field(0).type), ("n", pa.int64()), ("v", pa.binary()), ("bucket", pa.int32())])
+            schema = pa.schema([("id", part.schema.field(0).type), ("th", pa.int64()), ("n", pa.int64()), ("v", pa.binary()), ("bucket", pa.int32())])
             sketch += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            yield to_arrow(schema, id=part.column(0), n=np.diff(offsets), v=signatures(offsets, values), bucket=pa.nulls(part.num_rows, pa.int32()))
+            yield to_arrow(schema, id=part.column(0), th=part.column(1), n=np.diff(offsets), v=signatures(offsets, values), bucket=pa.nulls(part.num_rows, pa.int32()))
         if schema is not None:
             used = np.flatnonzero(sketch)
             none = pa.nulls(len(used), schema.field(0).type)
-            yield to_arrow(schema, id=none, n=sketch[used], v=pa.nulls(len(used), pa.binary()), bucket=used.astype(np.int32))
+            yield to_arrow(schema, id=none, th=pa.nulls(len(used), pa.int64()), n=sketch[used], v=pa.nulls(len(used), pa.binary()), bucket=used.astype(np.int32))
 
-    scanned = durable(rows.mapInArrow(first_scan, f"id {kind}, n long, v binary, bucket int"), "ngram-scan")
+    scanned = durable(rows.mapInArrow(first_scan, f"id {kind}, th long, n long, v binary, bucket int"), "ngram-scan")
     sets = scanned.where("bucket IS NULL").select("id", "n", "v")
     total = scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
     sketch = np.zeros(SKETCH, np.int64)
@@ -165,11 +167,13 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
             take = pa.array(own)
             yield to_arrow(schema, t=values[at].view(np.int64), v=pa.array(keys, pa.binary()).take(take), n=size[own].astype(np.int32), m=matches[own].astype(np.int8))
 
-    posted = rows.mapInArrow(prefix_scan, "t long, v binary, n int, m byte")
+    posted = rows.select("b").mapInArrow(prefix_scan, "t long, v binary, n int, m byte")
     holders = Window.partitionBy("t")
     postings = posted.withColumn("low", F.min("v").over(holders)).withColumn("high", F.max("v").over(holders)).where("low <> high").select("t", "v", "n", "m").distinct()
     postings = durable(postings, "ngram-postings")
-    links = verified_links(rows, postings, n, percent)
+    tidy(spark)
+    texts = Texts(rows.select("th", "b"), scanned.where("v IS NOT NULL").select("v", "th"))
+    links = durable(verified_links(texts, postings, n, percent), "ngram-all-links")
     classes = sets.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("first"))
     roots = contract(links)
     joined = classes.join(roots, "v", "left").select("v", "first", F.coalesce("c", "v").alias("root"))
@@ -180,63 +184,117 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+class Texts(NamedTuple):
+    """rows(th, b): texts with their hash; keys(v, th): which texts have a class's set."""
+
+    rows: DataFrame
+    keys: DataFrame
+
+
 def close(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of these sizes can link at all."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verified_links(rows: DataFrame, postings: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: pairs of classes that link, enough of them to join all that links join."""
-    spark = rows.sparkSession
-    prefixes = durable(postings.groupBy("v", "n", "m").agg(F.collect_list("t").alias("p")), "ngram-prefixes")
-    keys = prefixes.select("v")
-    few = prefixes.count() <= BROADCAST_KEYS
+def verified_links(texts: Texts, postings: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: pairs of classes that link, enough of them to join all that links join.
 
-    def set_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("v", pa.binary()), ("s", pa.list_(pa.int64()))])
-        seen: set[bytes] = set()
-        for part, offsets, values in each_set(batches, n):
-            keys = signatures(offsets, values)
-            fresh = []
-            for key in keys:
-                fresh.append(key is not None and key not in seen)
-                if key is not None and len(seen) < 1_000_000:
-                    seen.add(key)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield to_arrow(schema, v=pa.array(keys, pa.binary()), s=lists).filter(pa.array(fresh))
-
-    sets = rows.select("b").mapInArrow(set_scan, "v binary, s array<long>").join(F.broadcast(keys) if few else keys, "v", "left_semi")
-    sets = durable(sets.groupBy("v").agg(F.first("s").alias("s")), "ngram-sets")
-    found, open_rows, hubs_each = [], postings.withColumn("c", F.col("v")), 1
-    while True:
-        # hubs: of each n-gram the first documents, one of each component before a second of any
-        by_component = Window.partitionBy("t", "c").orderBy(F.xxhash64("v"), "v")
-        ranked = open_rows.withColumn("turn", F.row_number().over(by_component))
-        in_gram = Window.partitionBy("t")
-        ranked = ranked.withColumn("place", F.row_number().over(in_gram.orderBy("turn", F.xxhash64("v"), "v"))).withColumn("all", F.count(F.lit(1)).over(in_gram))
-        hub = F.col("place") <= F.when(F.col("all") <= SMALL_GROUP, F.col("all")).otherwise(F.lit(hubs_each))
-        ranked = durable(ranked.withColumn("hub", hub), "ngram-open")
-        x, y = ranked.select("t", "v", "n", "m", "c", "place").alias("x"), ranked.where("hub").select("t", "v", "n", "m", "c", "place").alias("y")
-        pairs = x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.c") != F.col("y.c")) & (F.col("x.place") > F.col("y.place")) & close(F.col("x.n"), F.col("y.n"), percent))
-        pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
-        # first the shared prefix elements, then the whole sets
-        left, right = (prefixes.select(F.col("v").alias(e), F.col("p").alias(f"p_{e}"), F.col("m").alias(f"m_{e}")) for e in "ab")
-        pairs = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("p_a", "p_b")) >= F.least("m_a", "m_b")).select("a", "b")
-        left, right = (sets.select(F.col("v").alias(e), F.col("s").alias(f"s_{e}")) for e in "ab")
-        both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
-        links = durable(both.where(F.col("i") * 100 >= (F.size("s_a") + F.size("s_b") - F.col("i")) * percent).select("a", "b"), "ngram-links")
+    The first round takes a sixteenth of the n-grams,
+    which joins most copies; the rounds after it take all n-grams that still hold documents of
+    different components.
+    """
+    spark = postings.sparkSession
+    prefixes = durable(postings.groupBy("v", "n", "m").agg(F.collect_list("t").alias("p")), "ngram-prefixes")
+    found, sets = [], None
+    sampled = postings.where(F.pmod("t", F.lit(16)) == 0).withColumn("c", F.col("v"))
+    ranked = rank_hubs(sampled, 1)
+    links, sets = compare(ranked, prefixes, texts, sets, n, percent)
+    forget(spark, ranked)
+    rest, hubs_each = postings.withColumn("c", F.col("v")), 1
+    if links is not None:
         found.append(links)
-        # what was a hub is done with; an n-gram whose other documents are of one component as well
-        rest = ranked.where("NOT hub").select("t", "v", "n", "m", "c")
-        merged = contract(links.join(ranked.select(F.col("v").alias("a"), F.col("c").alias("ca")).distinct(), "a").join(ranked.select(F.col("v").alias("b"), F.col("c").alias("cb")).distinct(), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        rest = rest.join(merged.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").withColumn("c", F.coalesce("root", "c"))
+        rest = relabelled(rest, contract(links))
+    while True:
         alive = rest.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("t")
         after = durable(rest.join(alive, "t", "left_semi").select("t", "v", "n", "m", "c"), "ngram-rest")
-        forget(spark, ranked)
+        tidy(spark)
         if after.isEmpty():
             break
-        open_rows, hubs_each = after, hubs_each * 4
-    out = found[0]
-    for links in found[1:]:
+        ranked = rank_hubs(after, hubs_each)
+        forget(spark, after)
+        links, sets = compare(ranked, prefixes, texts, sets, n, percent)
+        rest, hubs_each = ranked.where("NOT hub").select("t", "v", "n", "m", "c"), hubs_each * 4  # what was a hub is done with
+        if links is None:
+            continue
+        found.append(links)
+        label = lambda e: ranked.select(F.col("v").alias(e), F.col("c").alias(f"c{e}")).distinct()  # noqa: B023, E731
+        merged = contract(links.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        rest = relabelled(rest, merged)
+    out = spark.createDataFrame([], "a binary, b binary")
+    for links in found:
         out = out.unionByName(links)
-    return durable(out.distinct(), "ngram-all-links")
+    return out.distinct()
+
+
+def relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """rows with each component replaced by what it was merged into."""
+    return rows.join(merged.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
+
+
+def rank_hubs(rows: DataFrame, hubs_each: int) -> DataFrame:
+    """rows with place and hub: of each n-gram the first documents, one of each component before a second of any."""
+    rows = rows.repartition("t")
+    turn = F.row_number().over(Window.partitionBy("t", "c").orderBy(F.xxhash64("v"), "v"))
+    in_gram = Window.partitionBy("t")
+    ranked = rows.withColumn("turn", turn).withColumn("place", F.row_number().over(in_gram.orderBy("turn", F.xxhash64("v"), "v"))).withColumn("all", F.count(F.lit(1)).over(in_gram))
+    hub = F.col("place") <= F.when(F.col("all") <= SMALL_GROUP, F.col("all")).otherwise(F.lit(hubs_each))
+    return durable(ranked.select("t", "v", "n", "m", "c", "place", hub.alias("hub")), "ngram-open")
+
+
+def compare(ranked: DataFrame, prefixes: DataFrame, texts: Texts, sets: DataFrame | None, n: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links between documents and hubs of other components, the sets read so far); None without any.
+
+    A pair shares at most what its prefixes share and what lies behind one of them; its sets are
+    read only if that reaches what a link takes and the prefixes share the elements asked for.
+    """
+    spark = ranked.sparkSession
+    x, y = ranked.select("t", "v", "n", "c", "place").alias("x"), ranked.where("hub").select("t", "v", "n", "c", "place").alias("y")
+    pairs = x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.c") != F.col("y.c")) & (F.col("x.place") > F.col("y.place")) & close(F.col("x.n"), F.col("y.n"), percent))
+    pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+    side = lambda e: prefixes.select(F.col("v").alias(e), *(F.col(k).alias(f"{k}_{e}") for k in ("p", "n", "m")))
+    shared = F.size(F.array_intersect("p_a", "p_b"))
+    behind = lambda e: F.ceil(F.col(f"n_{e}") * percent / 100) - F.col(f"m_{e}")
+    enough = (shared + F.greatest(behind("a"), behind("b"), F.lit(0))) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    pairs = durable(pairs.join(side("a"), "a").join(side("b"), "b").where((shared >= F.least("m_a", "m_b")) & enough).select("a", "b"), "ngram-pairs")
+    if pairs.isEmpty():
+        forget(spark, pairs)
+        return None, sets
+    wanted = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).distinct()
+    if sets is not None:
+        wanted = wanted.join(sets.select("v"), "v", "left_anti")
+    wanted = durable(wanted, "ngram-wanted")
+    if sets is None or not wanted.isEmpty():
+        fresh = durable(read_sets(texts, wanted, n), "ngram-sets")
+        sets = fresh if sets is None else sets.unionByName(fresh)
+    side = lambda e: sets.select(F.col("v").alias(e), F.col("s").alias(f"s_{e}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
+    links = durable(both.where(F.col("i") * 100 >= (F.size("s_a") + F.size("s_b") - F.col("i")) * percent).select("a", "b"), "ngram-links")
+    forget(spark, pairs, wanted)
+    tidy(spark)
+    return links, sets
+
+
+def read_sets(texts: Texts, wanted: DataFrame, n: int) -> DataFrame:
+    """v, s: the sets of the wanted classes, from one text of each."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("v", pa.binary()), ("s", pa.list_(pa.int64()))])
+        for part, offsets, values in each_set(batches, n):
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield to_arrow(schema, v=pa.array(signatures(offsets, values), pa.binary()), s=lists)
+
+    by_text = texts.keys.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("th").alias("th")).select("th").distinct()
+    if wanted.count() <= BROADCAST_KEYS:
+        by_text = F.broadcast(by_text)
+    chosen = texts.rows.join(by_text, "th", "left_semi").groupBy("th", F.xxhash64("b", F.lit(1))).agg(F.first("b").alias("b"))
+    return chosen.select("b").mapInArrow(scan, "v binary, s array<long>").join(wanted, "v", "left_semi").dropDuplicates(["v"])
