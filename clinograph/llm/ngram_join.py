@@ -147,7 +147,7 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     sketch_b, level_b = spark.sparkContext.broadcast(sketch), spark.sparkContext.broadcast(level)
 
     def prefix_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("t", pa.int64()), ("v", pa.binary()), ("n", pa.int32()), ("m", pa.int8())])
+        schema = pa.schema([("t", pa.int64()), ("v", pa.binary()), ("n", pa.int32()), ("m", pa.int8()), ("i", pa.int32())])
         counts, levels, seen = sketch_b.value, level_b.value, set()
         for part, offsets, values in each_set(batches, n):
             size = np.diff(offsets)
@@ -165,11 +165,11 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
             own = np.repeat(np.arange(len(size)), length)
             at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length) + offsets[own]
             take = pa.array(own)
-            yield to_arrow(schema, t=values[at].view(np.int64), v=pa.array(keys, pa.binary()).take(take), n=size[own].astype(np.int32), m=matches[own].astype(np.int8))
+            yield to_arrow(schema, t=values[at].view(np.int64), v=pa.array(keys, pa.binary()).take(take), n=size[own].astype(np.int32), m=matches[own].astype(np.int8), i=(at - offsets[own]).astype(np.int32))
 
-    posted = rows.select("b").mapInArrow(prefix_scan, "t long, v binary, n int, m byte")
+    posted = rows.select("b").mapInArrow(prefix_scan, "t long, v binary, n int, m byte, i int")
     holders = Window.partitionBy("t")
-    postings = posted.withColumn("low", F.min("v").over(holders)).withColumn("high", F.max("v").over(holders)).where("low <> high").select("t", "v", "n", "m").distinct()
+    postings = posted.withColumn("low", F.min("v").over(holders)).withColumn("high", F.max("v").over(holders)).where("low <> high").select("t", "v", "n", "m", "i").distinct()
     postings = durable(postings, "ngram-postings")
     tidy(spark)
     texts = Texts(rows.select("th", "b"), scanned.where("v IS NOT NULL").select("v", "th"))
@@ -207,7 +207,7 @@ def verified_links(texts: Texts, postings: DataFrame, n: int, percent: int) -> D
     prefixes = durable(postings.groupBy("v", "n", "m").agg(F.collect_list("t").alias("p")), "ngram-prefixes")
     found, sets = [], None
     sampled = postings.where(F.pmod("t", F.lit(16)) == 0).withColumn("c", F.col("v"))
-    ranked = rank_hubs(sampled, 1)
+    ranked = rank_hubs(sampled, prefixes, 1)
     links, sets = compare(ranked, prefixes, texts, sets, n, percent)
     forget(spark, ranked)
     rest, hubs_each = postings.withColumn("c", F.col("v")), 1
@@ -216,14 +216,14 @@ def verified_links(texts: Texts, postings: DataFrame, n: int, percent: int) -> D
         rest = relabelled(rest, contract(links))
     while True:
         alive = rest.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("t")
-        after = durable(rest.join(alive, "t", "left_semi").select("t", "v", "n", "m", "c"), "ngram-rest")
+        after = durable(rest.join(alive, "t", "left_semi").select("t", "v", "n", "m", "i", "c"), "ngram-rest")
         tidy(spark)
         if after.isEmpty():
             break
-        ranked = rank_hubs(after, hubs_each)
+        ranked = rank_hubs(after, prefixes, hubs_each)
         forget(spark, after)
         links, sets = compare(ranked, prefixes, texts, sets, n, percent)
-        rest, hubs_each = ranked.where("NOT hub").select("t", "v", "n", "m", "c"), hubs_each * 4  # what was a hub is done with
+        rest, hubs_each = ranked.where("NOT hub").select("t", "v", "n", "m", "i", "c"), hubs_each * 4  # what was a hub is done with
         if links is None:
             continue
         found.append(links)
@@ -241,25 +241,34 @@ def relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return rows.join(merged.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
 
 
-def rank_hubs(rows: DataFrame, hubs_each: int) -> DataFrame:
-    """rows with place and hub: of each n-gram the first documents, one of each component before a second of any."""
-    rows = rows.repartition("t")
-    turn = F.row_number().over(Window.partitionBy("t", "c").orderBy(F.xxhash64("v"), "v"))
+def rank_hubs(rows: DataFrame, prefixes: DataFrame, hubs_each: int) -> DataFrame:
+    """rows with place and hub: of each n-gram the first documents, one of each component before a second of any.
+
+    First come those that share most of their prefix with anyone: among near copies the least
+    changed, which link to most others.
+    """
+    shares = prefixes.select("v", (F.size("p") / F.greatest(F.lit(1), F.col("n"))).alias("share"))
+    rows = rows.join(shares, "v").repartition("t")
+    order = [F.col("share").desc(), F.xxhash64("v"), F.col("v")]
+    turn = F.row_number().over(Window.partitionBy("t", "c").orderBy(*order))
     in_gram = Window.partitionBy("t")
-    ranked = rows.withColumn("turn", turn).withColumn("place", F.row_number().over(in_gram.orderBy("turn", F.xxhash64("v"), "v"))).withColumn("all", F.count(F.lit(1)).over(in_gram))
+    ranked = rows.withColumn("turn", turn).withColumn("place", F.row_number().over(in_gram.orderBy("turn", *order))).withColumn("all", F.count(F.lit(1)).over(in_gram))
     hub = F.col("place") <= F.when(F.col("all") <= SMALL_GROUP, F.col("all")).otherwise(F.lit(hubs_each))
-    return durable(ranked.select("t", "v", "n", "m", "c", "place", hub.alias("hub")), "ngram-open")
+    return durable(ranked.select("t", "v", "n", "m", "i", "c", "place", hub.alias("hub")), "ngram-open")
 
 
 def compare(ranked: DataFrame, prefixes: DataFrame, texts: Texts, sets: DataFrame | None, n: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(links between documents and hubs of other components, the sets read so far); None without any.
 
     A pair shares at most what its prefixes share and what lies behind one of them; its sets are
-    read only if that reaches what a link takes and the prefixes share the elements asked for.
+    read only if that reaches what a link takes and the prefixes share the elements asked for.  An
+    element brings a pair up only if it can be the first that the two share.
     """
     spark = ranked.sparkSession
-    x, y = ranked.select("t", "v", "n", "c", "place").alias("x"), ranked.where("hub").select("t", "v", "n", "c", "place").alias("y")
-    pairs = x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.c") != F.col("y.c")) & (F.col("x.place") > F.col("y.place")) & close(F.col("x.n"), F.col("y.n"), percent))
+    x, y = ranked.select("t", "v", "n", "i", "c", "place").alias("x"), ranked.where("hub").select("t", "v", "n", "i", "c", "place").alias("y")
+    # at the first element that a pair shares, what stands from it on in each set holds all they share
+    reachable = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    pairs = x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.c") != F.col("y.c")) & (F.col("x.place") > F.col("y.place")) & close(F.col("x.n"), F.col("y.n"), percent) & reachable)
     pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
     side = lambda e: prefixes.select(F.col("v").alias(e), *(F.col(k).alias(f"{k}_{e}") for k in ("p", "n", "m")))
     shared = F.size(F.array_intersect("p_a", "p_b"))
