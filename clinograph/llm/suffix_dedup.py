@@ -22,7 +22,7 @@ from .common import durable, flat_bytes, mix64, slices, to_arrow, utf8
 from .words import BASE, powers
 
 #: Bytes of contexts in one index block, about.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Anchors with more different contexts than this are settled window by window, dealt out by hash.
 CONTEXTS_PER_ANCHOR = 2000
 #: Texts chosen by a broadcast of their keys at most; above, the choice shuffles.
