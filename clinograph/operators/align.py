@@ -14,16 +14,20 @@ def bias(field: DataFrame, reference: DataFrame, on: Keys, v: str = "v") -> Data
     return field.join(reference.select(*on, F.col(v).alias("ref")), list(on)).withColumn("bias", F.col(v) - F.col("ref"))
 
 
-def common_steps(df: DataFrame, source: str = "source", t: str = "t") -> DataFrame:
-    """Steps that every source has, with the plain mean over sources."""
+def common_steps(df: DataFrame, source: str = "source", t: str = "t", by: Keys = ()) -> DataFrame:
+    """Steps that every source has, with the plain mean over sources; sources are counted for each key of `by`."""
+    if by:
+        sources = df.groupBy(*by).agg(F.count_distinct(source).alias("n_sources"))
+        by_step = df.groupBy(*by, t).agg(F.count_distinct(source).alias("n"), F.avg("v").alias("v"))
+        return by_step.join(sources, list(by)).where("n = n_sources").select(*by, t, "v")
     sources = df.select(F.count_distinct(source).alias("n_sources"))
     by_step = df.groupBy(t).agg(F.count_distinct(source).alias("n"), F.avg("v").alias("v"))
     return by_step.join(F.broadcast(sources), by_step.n == sources.n_sources).select(t, "v")  # one row
 
 
-def any_steps(df: DataFrame, t: str = "t") -> DataFrame:
-    """Every step any source has: mean, least and most of what is there."""
-    return df.groupBy(t).agg(F.avg("v").alias("v"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.count("v").alias("n"))
+def any_steps(df: DataFrame, t: str = "t", by: Keys = ()) -> DataFrame:
+    """Every step any source has, for each key of `by`: mean, least and most of what is there."""
+    return df.groupBy(*by, t).agg(F.avg("v").alias("v"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.count("v").alias("n"))
 
 
 def on_full_axis(df: DataFrame, keys: Keys, d: str = "d", first: str | None = None, last: str | None = None, v: str = "v") -> DataFrame:

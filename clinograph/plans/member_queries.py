@@ -69,12 +69,26 @@ def j03_inner_align(spark, sf_dir):
     return rounded(align.common_steps(rows), v=4)
 
 
+@query("WITH " + MEMBERS + ", x AS (SELECT family AS source, cell, t, avg(v) AS v FROM members GROUP BY 1, 2, 3), n AS (SELECT cell, count(DISTINCT source) AS n FROM x GROUP BY 1), s AS (SELECT cell, t, avg(v) AS v, count(DISTINCT source) AS k FROM x GROUP BY 1, 2) SELECT s.cell, t, round(v, 4) AS v FROM s JOIN n ON s.cell = n.cell AND k = n.n")
+def j03_inner_align_cells(spark, sf_dir):
+    """The steps that all sources of a cell have, for every cell."""
+    rows = members(spark, sf_dir).groupBy(F.col("family").alias("source"), "cell", "t").agg(F.avg("v").alias("v"))
+    return rounded(align.common_steps(rows, by=["cell"]), v=4)
+
+
 @query("WITH " + MEMBERS + ", x AS (SELECT source, t, avg(v) AS v FROM members WHERE cell = 3 GROUP BY 1, 2) SELECT t, round(avg(v), 4) AS v, round(min(v), 4) AS v_min, round(max(v), 4) AS v_max, count(v) AS n FROM x GROUP BY 1")
 def j04_outer_align(spark, sf_dir):
     rows = members(spark, sf_dir).where("cell = 3").groupBy("source", "t").agg(F.avg("v").alias("v"))
     return rounded(align.any_steps(rows), v=4, v_min=4, v_max=4)
 
 
+@query("WITH " + MEMBERS + ", x AS (SELECT source, cell, t, avg(v) AS v FROM members GROUP BY 1, 2, 3) SELECT cell, t, round(avg(v), 4) AS v, round(min(v), 4) AS v_min, round(max(v), 4) AS v_max, count(v) AS n FROM x GROUP BY 1, 2")
+def j04_outer_align_cells(spark, sf_dir):
+    """The steps that any source of a cell has, for every cell."""
+    rows = members(spark, sf_dir).groupBy("source", "cell", "t").agg(F.avg("v").alias("v"))
+    return rounded(align.any_steps(rows, by=["cell"]), v=4, v_min=4, v_max=4)
+
+
 @query("WITH " + MEMBERS + ", s AS (SELECT source, t, avg(v) AS v FROM members GROUP BY 1, 2) SELECT a.t, round(a.v, 4) AS t2m, round(b.v, 4) AS sw, round(c.v, 4) AS lw, round(b.v + c.v, 4) AS net FROM s a JOIN s b USING (t) JOIN s c USING (t) WHERE a.source = '1-URGENT' AND b.source = '2-HIGH' AND c.source = '3-MEDIUM'")
 def j05_three_way_align(spark, sf_dir):
     rows = members(spark, sf_dir).groupBy("source", "t").agg(F.avg("v").alias("v"))

@@ -225,6 +225,24 @@ def test_full_axis_and_duplicates(spark):
     assert got == {(1, 0): 4.0, (1, 1): None, (1, 2): None, (2, 0): None, (2, 1): None, (2, 2): 1.0}
 
 
+def test_every_cell_is_aligned_by_its_own_sources(spark):
+    rows = spark.createDataFrame([("a", 1, 1, 2.0), ("b", 1, 1, 4.0), ("a", 1, 2, 5.0), ("a", 2, 1, 7.0), ("a", 2, 2, 8.0)], "source string, cell long, t int, v double")
+    assert {(r.cell, r.t): r.v for r in align.common_steps(rows, by=["cell"]).collect()} == {(1, 1): 3.0, (2, 1): 7.0, (2, 2): 8.0}
+    assert {(r.cell, r.t): (r.v_min, r.n) for r in align.any_steps(rows, by=["cell"]).collect()} == {(1, 1): (2.0, 2), (1, 2): (5.0, 1), (2, 1): (7.0, 1), (2, 2): (8.0, 1)}
+
+
+def test_registered_alignments_cover_all_cells(spark, data_dir):
+    from clinograph.plans import catalog, panels
+
+    cells = lambda rows: {r.cell for r in rows.select("cell").distinct().collect()}
+    field = panels.members(spark, data_dir)
+    whole = field.select("cell", "t", F.col("family").alias("source")).distinct().toPandas()
+    families = whole.groupby("cell").source.nunique()
+    common = {cell for (cell, _), n in whole.groupby(["cell", "t"]).source.nunique().items() if n == families[cell]}
+    assert len(common) > 1 and cells(catalog.QUERIES["j03_inner_align_cells"](spark, data_dir)) == common
+    assert cells(catalog.QUERIES["j04_outer_align_cells"](spark, data_dir)) == cells(field)
+
+
 def test_members_and_windows(spark):
     rows = spark.createDataFrame([("A", "r10i1p1f1"), ("A", "r2i1p1f1"), ("B", "r1i1p1f1"), ("B", "r0i1p1f1")], "model string, variant string")
     assert {r.model: r.variant for r in ensemble.select_member(rows).collect()} == {"A": "r2i1p1f1", "B": "r1i1p1f1"}
