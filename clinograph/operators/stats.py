@@ -68,16 +68,24 @@ def variance_ratio(df: DataFrame, by: Keys, model: str, obs: str, weight: str =
     return out.select(*by, ratio.alias("f"), "df")
 
 
-def bootstrap_slope(df: DataFrame, keys: Keys, replicates: int = 500, seed: int = 0, v: str = "v") -> DataFrame:
+def bootstrap_slope(df: DataFrame, keys: Keys, replicates: int = 10_000, seed: int = 0, v: str = "v") -> DataFrame:
     """2.5th and 97.5th percentile of slopes over years drawn with replacement.
 
-    Draws are a hash of replicate and place, so they are the same wherever a task runs; draw k of a
-    replicate is a year's number, joined by an equi-join.
+    Draws are a hash of replicate and place, so they are the same wherever a task runs.  A key's
+    years are one array, so a replicate is one row with its sums, and draws are never shuffled.
     """
-    numbered = df.where(F.col(v).isNotNull()).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("year")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    draws = numbered.select(*keys, F.col("i").alias("place"), "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "rep", "place"), F.col("n")).cast("int")).drop("n", "place")
-    slopes = draws.join(numbered.select(*keys, "i", "year", v), [*keys, "i"]).groupBy(*keys, "rep").agg(F.regr_slope(v, F.col("year").cast("double")).alias("slope"))
+    there = df.where(F.col(v).isNotNull())
+    series = there.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("year").cast("double").alias("x"), F.col(v).cast("double").alias("y")))).alias("s"), F.avg(v).alias("mean"))
+    n, first = F.size("s"), F.element_at("s", 1)["x"]
+    drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda place: F.element_at("s", F.pmod(F.xxhash64(F.lit(seed), "rep", place), n).cast("int") + 1))
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("x", "y", "xx", "xy")))
+
+    def add(sums, one):
+        x, y = one["x"] - first, one["y"] - F.col("mean")  # small numbers, for the differences of products below
+        return F.struct((sums["x"] + x).alias("x"), (sums["y"] + y).alias("y"), (sums["xx"] + x * x).alias("xx"), (sums["xy"] + x * y).alias("xy"))
+
+    slope = F.aggregate(drawn, zero, add, lambda a: F.try_divide(n * a["xy"] - a["x"] * a["y"], n * a["xx"] - a["x"] * a["x"]))
+    slopes = series.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(*keys, slope.alias("slope"))
     return slopes.groupBy(*keys).agg(F.percentile("slope", 0.025).alias("low"), F.percentile("slope", 0.975).alias("high"))
 
 

@@ -243,6 +243,27 @@ def test_registered_alignments_cover_all_cells(spark, data_dir):
     assert cells(catalog.QUERIES["j04_outer_align_cells"](spark, data_dir)) == cells(field)
 
 
+def test_bootstrap_draws_ten_thousand_times(spark, data_dir):
+    from clinograph.plans import catalog, field_queries
+
+    rng = np.random.default_rng(7)
+    values = {(k, 1990 + i): float(0.3 * k * i + rng.normal()) for k in (1, 2) for i in range(9 + k)}
+    rows = spark.createDataFrame([(k, y, v) for (k, y), v in values.items()] + [(2, 2040, None), (3, 1990, 1.0)], "cell long, year int, v double")
+    got = {r.cell: (r.low, r.high) for r in stats.bootstrap_slope(rows, ["cell"]).collect()}
+    assert got[3] == (None, None)
+    for k in (1, 2):
+        n = 9 + k
+        draws = spark.range(10_000).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("place"))
+        draws = draws.select("rep", "place", F.pmod(F.xxhash64(F.lit(0), "rep", "place"), F.lit(n)).alias("i")).toPandas().sort_values(["rep", "place"]).i.to_numpy().reshape(-1, n)
+        x, y = draws.astype(float), np.array([values[k, 1990 + i] for i in range(n)])[draws]
+        dx, dy = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+        want = np.nanpercentile((dx * dy).sum(1) / (dx * dx).sum(1), [2.5, 97.5])
+        assert np.allclose(got[k], want, rtol=1e-9)
+    annual = temporal.annual_mean(field_queries.monthly(spark, data_dir), ["cell"])
+    table = lambda df: {r.cell: (r.low, r.high) for r in catalog.rounded(df, low=4, high=4).collect()}
+    assert table(catalog.QUERIES["w07_bootstrap_ci"](spark, data_dir)) == table(stats.bootstrap_slope(annual, ["cell"], 10_000))
+
+
 def test_members_and_windows(spark):
     rows = spark.createDataFrame([("A", "r10i1p1f1"), ("A", "r2i1p1f1"), ("B", "r1i1p1f1"), ("B", "r0i1p1f1")], "model string, variant string")
     assert {r.model: r.variant for r in ensemble.select_member(rows).collect()} == {"A": "r2i1p1f1", "B": "r1i1p1f1"}
