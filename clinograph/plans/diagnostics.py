@@ -190,24 +190,64 @@ def added_value_maps(f, s):
 # Boxes (south, north, west, east) of indices that are box means or differences.
 BOXES = {"ENSO": ((-5.0, 5.0, 190.0, 240.0),), "IOD": ((-10.0, 10.0, 50.0, 70.0), (-10.0, 0.0, 90.0, 110.0)), "QBO": ((-5.0, 5.0, 0.0, 359.99),)}
 # Boxes of modes by decomposition, and the place whose sign is fixed.
-EOF_MODES = {"NAO": ((20.0, 80.0, 270.0, 40.0), (65.0, 340.0)), "SAM": ((-90.0, -20.0, 0.0, 359.99), (-80.0, 0.0)), "AO": ((20.0, 90.0, 0.0, 359.99), (85.0, 0.0)), "PDO": ((20.0, 70.0, 110.0, 260.0), (40.0, 180.0))}
+EOF_MODES = {"NAO": ((20.0, 80.0, 270.0, 40.0), (65.0, 340.0)), "SAM": ((-90.0, -20.0, 0.0, 359.99), (-65.0, 0.0)), "AO": ((20.0, 90.0, 0.0, 359.99), (90.0, 0.0)), "PDO": ((20.0, 70.0, 120.0, 260.0), (45.0, 200.0))}
+#: Modes of the field less its global mean.
+LESS_GLOBAL = {"PDO"}
+#: Steps that a decomposition needs.
+LEAST_STEPS = 12
 
 
 @register("teleconnections")
 def teleconnections(f, s):
+    """For each of the seven modes its index, pattern, spectrum and monthly spread by source.
+
+    The four modes by decomposition run jobs for each source; their index is in `index`, as the others'.
+    Patterns are regressions of the field on the index; of decompositions the mode's own, in its box.
+    """
     rows = gridded(f, "model")
     out: dict[str, DataFrame] = {}
     for name, boxes in BOXES.items():
         first, *more = (in_box("lat", "lon", *b) for b in boxes)
         index = spatial.box_difference(rows, first, more[0], ["source", "t"]) if more else spatial.box_index(rows, first, ["source", "t"])
-        out[name] = temporal.deseason(index, ["source"], "index")
+        index = temporal.deseason(index, ["source"], "index")
+        out |= mode_tables(name, index, regression_by_source(rows, index))
+    sources = [r.source for r in f["model"].select("source").distinct().orderBy("source").collect()]  # tens
+    for name in EOF_MODES:
+        index = pattern = None
+        for source in sources:
+            pcs, patterns = mode(f, name, source)
+            pcs = pcs.select(F.lit(source).alias("source"), "t", F.col("pc").alias("index"), "explained")
+            patterns = patterns.select(F.lit(source).alias("source"), "cell", "pattern")
+            index, pattern = (pcs, patterns) if index is None else (index.unionByName(pcs), pattern.unionByName(patterns))
+        if index is not None:
+            out |= mode_tables(name, index, pattern)
     return out
 
 
+def regression_by_source(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """source, cell, pattern: each source's field on its own index."""
+    both = F.struct("source", "t")
+    field = rows.select("source", "cell", both.alias("at"), "v")
+    return stats.regression_pattern(field, index.select(both.alias("at"), "index"), ["source", "cell"], t="at")
+
+
+def mode_tables(name: str, index: DataFrame, pattern: DataFrame) -> dict[str, DataFrame]:
+    return {name: index, f"{name}_pattern": pattern, f"{name}_spectrum": stats.spectrum(index, "source", v="index"), f"{name}_spread": temporal.monthly_spread(index, ["source"], "index")}
+
+
 def mode(f: Fields, name: str, source: str, modes: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(series, pattern) of a mode by decomposition, its sign fixed; this one runs a job."""
+    """(series, pattern) of a mode by decomposition, its sign fixed; this one runs a job.
+
+    Without enough steps or a whole cell in its box both are empty.
+    """
     box, (lat, lon) = EOF_MODES[name]
-    rows = gridded(f, "model").where((F.col("source") == source) & in_box("lat", "lon", *box))
+    field = gridded(f, "model").where(F.col("source") == source)
+    rows = field.where(in_box("lat", "lon", *box))
+    if name in LESS_GLOBAL:
+        everywhere = spatial.coslat_mean(field, ["t"]).withColumnRenamed("v", "everywhere")
+        rows = rows.join(everywhere, "t").withColumn("v", F.col("v") - F.col("everywhere")).drop("everywhere")
+    steps = rows.select(F.count_distinct("t").alias("steps")).where(F.col("steps") >= LEAST_STEPS)
+    rows = rows.join(F.broadcast(steps)).drop("steps")  # one row
     pcs, patterns = stats.eof(temporal.deseason(rows, ["cell"]), modes)
     return stats.fix_sign(pcs, patterns, f["grid"].select("cell", "lat", "lon"), lat, lon)
 

@@ -308,6 +308,54 @@ def test_diagnostics_run_on_a_small_world(spark):
     assert out["added_value"]["shares"].count() == 10
 
 
+def test_teleconnections_give_seven_modes_whole(spark):
+    rng = np.random.default_rng(17)
+    places = [(lat, lon) for lat in (-75.0, -45.0, 0.0, 45.0, 75.0) for lon in (0.0, 60.0, 100.0, 200.0, 220.0, 300.0)]
+    grid = spark.createDataFrame([(c, lat, lon, math.cos(math.radians(lat)), 0.0) for c, (lat, lon) in enumerate(places)], "cell long, lat double, lon double, area double, land_frac double")
+    steps = [dt.date(y, m, 1) for y in range(1990, 1995) for m in range(1, 13)]
+    waves = {k: rng.normal(size=(2, len(steps))) for k in ("m1", "m2")}
+    values = {k: np.array([[3 * w[0, t] * math.sin(math.radians(lat)) + w[1, t] * math.cos(math.radians(lon)) + 0.1 * rng.normal() for t in range(len(steps))] for lat, lon in places]) for k, w in waves.items()}
+    rows = [(k, c, steps[t], float(v[c, t])) for k, v in values.items() for c in range(len(places)) for t in range(len(steps))]
+    out = diagnostics.run("teleconnections", {"grid": grid, "model": spark.createDataFrame(rows, "source string, cell long, t date, v double")})
+    names = ("ENSO", "IOD", "QBO", "NAO", "SAM", "AO", "PDO")
+    assert set(out) == {n + part for n in names for part in ("", "_pattern", "_spectrum", "_spread")}
+
+    lat, lon = np.array(places).T
+    month = np.array([t.month for t in steps])
+    away = lambda x: x - np.stack([x[:, month == m].mean(1) for m in month], axis=1)
+    w = np.cos(np.radians(lat))
+    boxes = {"NAO": (lat >= 20) & (lat <= 80) & ((lon >= 270) | (lon <= 40)), "SAM": lat <= -20, "AO": lat >= 20, "PDO": (lat >= 20) & (lat <= 70) & (lon >= 120) & (lon <= 260)}
+    signs = {"NAO": (65.0, 340.0), "SAM": (-65.0, 0.0), "AO": (90.0, 0.0), "PDO": (45.0, 200.0)}
+    assert all(out[n].count() == 2 * len(steps) for n in names)
+    for name, inside in boxes.items():
+        got, patterns = out[name].toPandas(), out[f"{name}_pattern"].toPandas()
+        for k in ("m1", "m2"):
+            v = values[k][inside] - ((w @ values[k]) / w.sum() if name == "PDO" else 0)
+            x = away(v)
+            root = np.sqrt(w[inside])[:, None]
+            pc = np.linalg.svd(root * x, full_matrices=False)[2][0] * math.sqrt(len(steps))
+            pattern = x @ pc / len(steps)
+            a, b = (np.radians(q) for q in signs[name])
+            la, lo = np.radians(lat[inside]), np.radians(lon[inside])
+            near = np.argmax(np.sin(la) * math.sin(a) + np.cos(la) * math.cos(a) * np.cos(lo - b) - 1e-9 * np.arange(len(la)))
+            turn = -1.0 if pattern[near] > 0 else 1.0
+            own = got[got.source == k].sort_values("t")
+            assert np.allclose(own["index"], turn * pc, atol=1e-6), name
+            assert np.allclose(patterns[patterns.source == k].sort_values("cell").pattern, turn * pattern, atol=1e-6)
+    enso = out["ENSO"].where("source = 'm2'").orderBy("t").toPandas()["index"].to_numpy(float)
+    want = [np.cov(r, enso, bias=True)[0, 1] / enso.std() for r in values["m2"]]
+    got = out["ENSO_pattern"].where("source = 'm2'").orderBy("cell").toPandas().pattern
+    assert np.allclose(got, want) and len(want) == len(places)
+    for n in ("IOD", "PDO"):
+        series = out[n].where("source = 'm1'").orderBy("t").toPandas()["index"].to_numpy(float)
+        period, power = stats.welch(series)
+        spectrum = out[f"{n}_spectrum"].where("source = 'm1'").toPandas().sort_values("period", ascending=False)
+        assert np.allclose(spectrum.period, period) and np.allclose(spectrum.power, power)
+        spread = {r.month: (r.std, r.peak_month) for r in out[f"{n}_spread"].where("source = 'm1'").collect()}
+        std = {m: series[month == m].std() for m in range(1, 13)}
+        assert len(spread) == 12 and all(math.isclose(spread[m][0], std[m], rel_tol=1e-9) and spread[m][1] == max(std, key=std.get) for m in std)
+
+
 def test_plans_push_filters_and_prune_columns(spark, data_dir):
     from clinograph.plans import panels
 
