@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, flat_bytes, mix64, slices, to_arrow, utf8
-from .words import BASE, powers
+from .words import BASE, powers, word_spans
 
 #: Bytes of contexts in one index block, about.
 BLOCK_BYTES = 1 << 20
@@ -295,11 +295,21 @@ def window_spans(contexts: DataFrame, length: int) -> DataFrame:
     return each.where("n = 1").join(common, ["ah", "wh"], "left_semi").select("k", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
-def cut_repeats(docs: DataFrame, length: int, id_cols: list[str], text_col: str, kept: bool) -> DataFrame:
-    """id_cols, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, null if all are kept)."""
+def wordy(data: np.ndarray, start: np.ndarray, end: np.ndarray, over_words: int) -> np.ndarray:
+    """Which of the runs [start, end) of one text hold more than so many words as a whole."""
+    first, last, _ = word_spans(data, np.array([0, len(data)]))
+    return np.searchsorted(last, end, side="right") - np.searchsorted(first, start) > over_words
+
+
+def cut_repeats(docs: DataFrame, length: int, id_cols: list[str], text_col: str, kept: bool, over_words: int = 0) -> DataFrame:
+    """id_cols, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, null if all are kept).
+
+    With over_words only runs of repeated bytes that hold more words than that are removed.
+    """
     rows = docs.select(*id_cols, utf8(text_col).alias("b")).withColumn("sha", F.sha2("b", 256)).withColumn("k", F.substring(F.unhex("sha"), 1, 16))
     texts = rows.select("k", "b").where(F.octet_length("b") >= length)
-    copies = texts.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("b")).alias("size")).where("n > 1").select("k", "size")
+    words = F.size(F.filter(F.split(F.col("b").cast("string"), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")) if over_words else F.lit(1)
+    copies = texts.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("b")).alias("size"), F.max(words).alias("words")).where("n > 1").select("k", "size", "words")
     copies = durable(copies, "repeat-copies")
     spans = durable(repeated_windows(texts, length), "repeat-spans")
     lists = spans.join(copies, "k", "left_anti").groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -311,13 +321,18 @@ def cut_repeats(docs: DataFrame, length: int, id_cols: list[str], text_col: str,
             for key, data, marks in zip(batch.column("k").to_pylist(), batch.column("b"), batch.column("spans")):
                 data, marks = data.as_buffer(), marks.values
                 start, end = merge_spans(marks.field("lo").to_numpy().astype(np.int64), marks.field("hi").to_numpy().astype(np.int64), length)
+                if over_words:
+                    long = wordy(np.frombuffer(data, np.uint8), start, end, over_words)
+                    start, end = start[long], end[long]
+                    if not len(start):
+                        continue
                 edges = [0, *np.stack([start, end], axis=1).reshape(-1).tolist(), data.size]
                 rest = b"".join(memoryview(data)[a:z] for a, z in zip(edges[::2], edges[1::2]))
                 out.append((key, data.size - len(rest), len(start), hashlib.sha256(rest).hexdigest(), rest if kept else None))
             yield to_arrow(schema, **{f.name: [r[i] for r in out] for i, f in enumerate(schema)})
 
     changed = choose(texts, spans.join(copies, "k", "left_anti")).join(lists, "k").select("k", "b", "spans").mapInArrow(remove, "k binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    whole = copies.select("k", F.col("size").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    whole = copies.where(F.col("words") > over_words).select("k", F.col("size").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
     result = rows.select(*id_cols, "k", "sha", F.octet_length("b").cast("long").alias("n_bytes")).join(changed.unionByName(whole), "k", "left")
     none = F.lit(0).cast("long")
     return result.select(*id_cols, "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *(["kept"] if kept else []))
@@ -333,14 +348,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return cut_repeats(docs, length, [id_col], text_col, False)
 
 
-def with_repeats_removed(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated bytes cut out of the text, and was_cut.
+def with_repeats_removed(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", over_words: int = 0) -> DataFrame:
+    """docs with the repeated bytes cut out of the text, and was_cut; with over_words only runs of more words.
 
     What is left is decoded again; bytes of a character that was cut through are dropped.  Null
     texts and texts that lose nothing stay as they are.
     """
     others = [c for c in docs.columns if c != text_col]
-    cut = cut_repeats(docs.withColumn("cut_text", F.col(text_col)), length, [*others, "cut_text"], "cut_text", True)
+    cut = cut_repeats(docs.withColumn("cut_text", F.col(text_col)), length, [*others, "cut_text"], "cut_text", True, over_words)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

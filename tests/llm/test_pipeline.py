@@ -55,6 +55,20 @@ def test_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces} == set(got)
 
 
+def test_only_passages_of_over_fifty_words_are_cut(spark):
+    rng = random.Random(13)
+    prose = lambda n, letters=8: " ".join("".join(rng.choices("abcdefghijklmnop", k=letters)) for _ in range(n))
+    own = lambda: "<" + prose(20) + "> "
+    fifty, more, short, copy = prose(50), prose(51), prose(51, 1), prose(40)
+    rows = [(i, own() + p + " " + own()) for p, i in ((fifty, 1), (fifty, 2), (more, 3), (more, 4), (short, 5), (short, 6))] + [(7, copy), (8, copy), (9, more), (10, more)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r for r in pipeline.cut_passages(spark, docs, "").collect()}
+    before = dict(rows)
+    assert all(got[i].text == before[i] for i in (1, 2, 7, 8))
+    assert all(p not in got[i].text and 300 < len(got[i].text) == got[i].n_chars for p, i in ((more, 3), (more, 4), (short, 5), (short, 6)))
+    assert got[9].text == got[10].text == ""
+
+
 def test_run(spark, tmp_path):
     _, folder, _ = world(tmp_path, spark)
     out = pipeline.run(spark, folder)
