@@ -59,25 +59,32 @@ class ByteBpe:
             if not self.long_run.search(piece):
                 ids += self.encoding.encode_ordinary(piece)
                 continue
-            for match in self.matches(piece):
-                ids += self.merge(match.encode()) if len(match) > LONG_MATCH // 4 else self.encoding.encode_ordinary(match)
+            for part, alone in self.matches(piece):
+                ids += self.merge(part.encode()) if alone else self.encoding.encode_ordinary(part)
         return ids
 
-    def matches(self, piece: str) -> Iterator[str]:
-        """Runs of short matches joined, and each long match on its own."""
-        start = end = 0
+    def matches(self, piece: str) -> Iterator[tuple[str, bool]]:
+        """Runs of short matches joined, and on its own each long match and white space right before it.
+
+        A run encodes as it does in the whole text: the pattern looks ahead from white space only.
+        """
+        start = end = last = 0
         for match in self.pattern.finditer(piece):
             if match.end() - match.start() > LONG_MATCH // 4:
                 if start < match.start():
-                    yield piece[start : match.start()]
-                yield match.group()
+                    blank = piece[last : match.start()].isspace()
+                    if start < (cut := last if blank else match.start()):
+                        yield piece[start:cut], False
+                    if blank:
+                        yield piece[last : match.start()], True
+                yield match.group(), True
                 start = match.end()
             elif match.start() - start > PIECE_CHARS and SAFE.match(piece, match.start()):
-                yield piece[start : match.start()]
+                yield piece[start : match.start()], False
                 start = match.start()
-            end = match.end()
+            last, end = match.start(), match.end()
         if start < end:
-            yield piece[start:end]
+            yield piece[start:end], False
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one match: the adjacent pair of lowest rank, leftmost first, merges until none can."""

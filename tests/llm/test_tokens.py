@@ -1,4 +1,5 @@
 """Operators on tokens against the libraries and exact round trips."""
+import base64
 import hashlib
 import random
 import zlib
@@ -43,6 +44,20 @@ def test_byte_bpe_equals_the_library_on_long_texts():
     assert "".join(byte_bpe.pieces(long)) == long and len(list(byte_bpe.pieces(long))) > 1
 
 
+def test_byte_bpe_looks_ahead_before_long_matches(tmp_path):
+    path, pattern = str(tmp_path / "ranks"), r"\p{L}+|\s+(?!\S)|\s+"
+    tokens = [bytes([i]) for i in range(256)] + [b"\t\t", b"\n\n", b"\t\t\t"]
+    with open(path, "wb") as file:
+        file.writelines(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens))
+    bpe = byte_bpe.ByteBpe(path, pattern)
+    long = "x" * 600
+    for text in ["ab\t\t" + long, "\n\n" + long, "ab\t\t\t\t" + long + "\n\n" + long, long + "\t\ty" * 300, " ab \t\t\n\n" + long + "\t\t"]:
+        assert bpe.encode(text) == bpe.encoding.encode_ordinary(text), repr(text)
+    real = byte_bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for text in ["a" * 3000 + " x  y \n\n z'll 12345" * 300, "a\n\n\t\t" + "b" * 700 + "  c" * 400]:
+        assert real.encode(text) == real.encoding.encode_ordinary(text)
+
+
 def test_count_query(docs, empty, rows):
     got = token_counts.count_tokens(docs, P.path("byte_bpe_50k.json")).collect()
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
