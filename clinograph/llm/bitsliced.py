@@ -18,8 +18,8 @@ from pyspark.sql import Window
 
 from .common import durable, to_arrow
 
-#: Components beyond 2 ** 28 / 64 in size are taken as that, so that scores fit a long.
-MOST = 1 << 28
+#: What sums of squared components stay under, so that scores fit a long; a little is left for rounding.
+MOST = float(2**63 - 2**40)
 
 
 def spread(bitmap: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def components(vectors: pa.Array) -> tuple[np.ndarray, int]:
     dims = max((len(v) for v in lists), default=0)
     out = np.zeros((len(lists), dims), np.int64)
     for k, v in enumerate(lists):
-        out[k, : len(v)] = np.clip(np.floor(64 * v), -MOST, MOST)
+        out[k, : len(v)] = np.floor(64 * v)
     return out, dims
 
 
@@ -134,19 +134,24 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, slices: int = 5, block_
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by `every`.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no
-    part; shorter vectors count as filled up with zeros.  A row that stands twice is two candidates
+    part; shorter vectors count as filled up with zeros.  Vectors so long that a score may not fit a long
+    raise ValueError.  A row that stands twice is two candidates
     but one query.  Every row is indexed; block sizes are about block_rows.  Query chunks go to
     every block by an equi-join on the block's number, and each block returns at most k rows a query.
     """
     spark = rows.sparkSession
     good = usable(rows, id_col, vec_col)
-    extent = good.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("id") % every == 0, 1).otherwise(0)).alias("q"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"), F.max(F.size("v")).alias("dims")).first()
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.floor(64 * x).cast("double"), 2))
+    extent = good.agg(F.max(squares).alias("squares"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("id") % every == 0, 1).otherwise(0)).alias("q"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"), F.max(F.size("v")).alias("dims")).first()
     out_schema = "query_id long, rank int, vec_id long, score long"
     if not extent["n"] or not extent["q"]:
         return spark.createDataFrame([], out_schema)
-    low, high = (int(np.clip(np.floor(64 * (x or 0.0)), -MOST, MOST)) for x in (extent["lo"], extent["hi"]))
+    if extent["squares"] >= MOST:  # no product of two vectors is larger than the larger one's with itself
+        raise ValueError("components too large: scores would not fit a long")
+    low, high = (int(np.floor(64 * (x or 0.0))) for x in (extent["lo"], extent["hi"]))
     low, high = min(low, 0), max(high, 0)
     bits, dims = max(1, (high - low).bit_length()), extent["dims"]
+    kind = np.int32 if -(2**31) <= low and high < 2**31 else np.int64
     blocks, chunks = -(-extent["n"] // block_rows), -(-extent["q"] // chunk_queries)
 
     def build(table: pa.Table) -> pa.Table:
@@ -156,11 +161,11 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, slices: int = 5, block_
         part, width = components(table.column("v"))
         values[:, :width] = part
         block = Block(ids[order], values[order], low, bits, slices)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": pa.array([block.ids.tobytes()], pa.binary()), "vals": pa.array([block.values.astype(np.int32).tobytes()], pa.binary()), "bitmaps": pa.array([block.slice.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "ids": pa.array([block.ids.tobytes()], pa.binary()), "vals": pa.array([block.values.astype(kind).tobytes()], pa.binary()), "bitmaps": pa.array([block.slice.tobytes()], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
         ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
-        values = np.zeros((len(ids), dims), np.int32)
+        values = np.zeros((len(ids), dims), kind)
         part, width = components(table.column("v").combine_chunks().take(pa.array(first)) if isinstance(table.column("v"), pa.ChunkedArray) else table.column("v").take(pa.array(first)))
         values[:, :width] = part
         return pa.table({"q_ids": pa.array([ids.tobytes()], pa.binary()), "q_vals": pa.array([values.tobytes()], pa.binary())})
@@ -171,8 +176,8 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, slices: int = 5, block_
             for r in range(batch.num_rows):
                 ids, values, packed, q_ids, q_vals = (batch.column(n)[r].as_buffer() for n in ("ids", "vals", "bitmaps", "q_ids", "q_vals"))
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                block = Block(ids, np.frombuffer(values, np.int32).reshape(len(ids), dims).astype(np.int64), low, bits, slices, packed)
-                queries = np.frombuffer(q_vals, np.int32).reshape(len(q_ids), dims).astype(np.int64)
+                block = Block(ids, np.frombuffer(values, kind).reshape(len(ids), dims).astype(np.int64), low, bits, slices, packed)
+                queries = np.frombuffer(q_vals, kind).reshape(len(q_ids), dims).astype(np.int64)
                 found = [block.top(queries[i], int(q_ids[i]), k) for i in range(len(q_ids))]
                 yield to_arrow(schema, query_id=np.repeat(q_ids, [len(s) for s, _ in found]), vec_id=np.concatenate([i for _, i in found]), score=np.concatenate([s for s, _ in found]))
 

@@ -2,6 +2,8 @@
 import gzip
 import hashlib
 import io
+import math
+import random
 
 import numpy as np
 import pytest
@@ -107,3 +109,16 @@ def test_members_without_lengths_and_plain_records():
     for data in (packed, plain):
         got = [(h["x-page-id"], warc.payload_of(h, block()) if int(h["x-page-id"]) % 2 else None) for h, block in warc.Records(io.BufferedReader(io.BytesIO(data)))]
         assert got == [(str(i), rows[i]["payload"] if i % 2 else None) for i in range(4)]
+
+
+def test_large_components_are_scored_as_they_are_or_refused(spark):
+    rng = random.Random(23)
+    vectors = {i: [rng.choice([-1, 1]) * 2.0 ** rng.randrange(20, 25) + rng.randrange(64) / 64, rng.uniform(-9, 9)] for i in range(1, 200)}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bitsliced.top_k(rows, 3).collect()}
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors.items()}
+    for q in range(20, 200, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:3]
+        assert [got[q, k + 1] for k in range(3)] == [(i, -score) for score, i in best]
+    with pytest.raises(ValueError):
+        bitsliced.top_k(spark.createDataFrame([(20, [1e300, 1.0])], "vec_id long, embedding array<double>"), 3)
