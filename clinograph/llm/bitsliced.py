@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import durable, to_arrow
+from .common import to_arrow
 
 #: What sums of squared components stay under, so that scores fit a long; a little is left for rounding.
 MOST = float(2**63 - 2**40)
@@ -125,23 +125,29 @@ def components(vectors: pa.Array) -> tuple[np.ndarray, int]:
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and v: rows with an id and a vector whose components are all finite."""
-    v = F.col(vec_col).cast("array<double>")
+    v = F.col(vec_col)
+    if rows.schema[vec_col].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
 
 
-def top_k(rows: DataFrame, k: int = 20, every: int = 20, slices: int = 5, block_rows: int = 16384, chunk_queries: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(rows: DataFrame, k: int = 20, every: int = 20, slices: int = 5, block_rows: int = 16384, chunk_queries: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by `every`.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no
-    part; shorter vectors count as filled up with zeros.  Vectors so long that a score may not fit a long
-    raise ValueError.  A row that stands twice is two candidates
-    but one query.  Every row is indexed; block sizes are about block_rows.  Query chunks go to
-    every block by an equi-join on the block's number, and each block returns at most k rows a query.
+    part; shorter vectors count as filled up with zeros.  Vectors so long that a score may not fit a
+    long raise ValueError.  A row that stands twice is two candidates but one query.
+
+    Every row is indexed, in blocks of about block_rows, dealt out by the hash of id and vector; of
+    equal rows k are kept, as no more can be among the best.  A block goes to one task (to a few
+    where there are fewer blocks than cores) and stays there; the queries come to it in chunks, one
+    after the other, and it returns at most k rows a query.
     """
     spark = rows.sparkSession
     good = usable(rows, id_col, vec_col)
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.floor(64 * x).cast("double"), 2))
+    scaled = lambda x: F.floor(64 * x.cast("double"))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(scaled(x).cast("double"), 2))
     extent = good.agg(F.max(squares).alias("squares"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("id") % every == 0, 1).otherwise(0)).alias("q"), F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"), F.max(F.size("v")).alias("dims")).first()
     out_schema = "query_id long, rank int, vec_id long, score long"
     if not extent["n"] or not extent["q"]:
@@ -153,6 +159,7 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, slices: int = 5, block_
     bits, dims = max(1, (high - low).bit_length()), extent["dims"]
     kind = np.int32 if -(2**31) <= low and high < 2**31 else np.int64
     blocks, chunks = -(-extent["n"] // block_rows), -(-extent["q"] // chunk_queries)
+    lanes = min(chunks, max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks)))
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -168,25 +175,33 @@ def top_k(rows: DataFrame, k: int = 20, every: int = 20, slices: int = 5, block_
         values = np.zeros((len(ids), dims), kind)
         part, width = components(table.column("v").combine_chunks().take(pa.array(first)) if isinstance(table.column("v"), pa.ChunkedArray) else table.column("v").take(pa.array(first)))
         values[:, :width] = part
-        return pa.table({"q_ids": pa.array([ids.tobytes()], pa.binary()), "q_vals": pa.array([values.tobytes()], pa.binary())})
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "vals": pa.array([values.tobytes()], pa.binary())})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        block = None
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, values, packed, q_ids, q_vals = (batch.column(n)[r].as_buffer() for n in ("ids", "vals", "bitmaps", "q_ids", "q_vals"))
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                block = Block(ids, np.frombuffer(values, kind).reshape(len(ids), dims).astype(np.int64), low, bits, slices, packed)
-                queries = np.frombuffer(q_vals, kind).reshape(len(q_ids), dims).astype(np.int64)
-                found = [block.top(queries[i], int(q_ids[i]), k) for i in range(len(q_ids))]
-                yield to_arrow(schema, query_id=np.repeat(q_ids, [len(s) for s, _ in found]), vec_id=np.concatenate([i for _, i in found]), score=np.concatenate([s for s, _ in found]))
-
-    of = F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
-    index = durable(good.withColumn("block", of).groupBy("block").applyInArrow(build, "block int, ids binary, vals binary, bitmaps binary"), "slices-index")
+                ids, values, packed = (batch.column(n)[r].as_buffer() for n in ("ids", "vals", "bitmaps"))
+                ids = np.frombuffer(ids, np.int64)
+                values = np.frombuffer(values, kind).reshape(len(ids), dims).astype(np.int64)
+                if packed is not None:  # a block, which stands before its queries
+                    block = Block(ids.copy(), values, low, bits, slices, packed.to_pybytes())
+                    continue
+                found = [block.top(q, i, k) for i, q in zip(ids.tolist(), values)]
+                yield to_arrow(schema, query_id=np.repeat(ids, [len(s) for s, _ in found]), vec_id=np.concatenate([i for _, i in found]), score=np.concatenate([s for s, _ in found]))
+
+    # more than k equal rows can't all be among the best
+    distinct = good.groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))
+    copies = distinct.select("id", "v", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
+    index = copies.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(build, "block int, ids binary, vals binary, bitmaps binary")
+    slot = (F.col("block") * lanes + F.col("lane")).cast("long").alias("slot")
+    index = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select(slot, F.lit(0).alias("turn"), "ids", "vals", "bitmaps")
     asked = good.where(F.col("id") % every == 0).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    asked = asked.groupBy("chunk").applyInArrow(gather, "q_ids binary, q_vals binary")
-    # one row for each block and chunk: dealt out evenly, as each is the same work
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block").repartition(max(8, min(blocks * chunks, 4096)))
-    best = pairs.select("ids", "vals", "bitmaps", "q_ids", "q_vals").mapInArrow(search, "query_id long, vec_id long, score long")
+    asked = asked.groupBy("chunk").applyInArrow(gather, "chunk long, ids binary, vals binary")
+    asked = asked.withColumn("lane", F.col("chunk") % lanes).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.select(slot, F.lit(1).alias("turn"), "ids", "vals", F.lit(None).cast("binary").alias("bitmaps"))
+    both = index.unionByName(asked).repartition(3 * blocks * lanes, "slot").sortWithinPartitions("slot", "turn")
+    best = both.select("ids", "vals", "bitmaps").mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

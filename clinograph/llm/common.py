@@ -45,10 +45,13 @@ def work_path(spark: SparkSession, label: str) -> str:
 def durable(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a table under the shared folder and reads it back.
 
-    The lineage ends there, and the loss of an executor after the write costs nothing.
+    The lineage ends there, and the loss of an executor after the write costs nothing.  The table goes
+    with forget(), at the latest when the driver ends.
     """
     spark, schema = df.sparkSession, df.schema
     path = work_path(spark, label)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -1,10 +1,13 @@
 """Jaccard self-join of documents on word n-grams with adaptive multi-match prefixes.
 
-All n-grams have one order, rare ones first by a counting sketch of the whole corpus.  If two sets
+All n-grams have one order, by the true number of sets that hold them, rare ones first.  If two sets
 share c elements, their prefixes of size - c + m share at least m.  Each document chooses its own m:
 the one whose longer prefix is expected to cost less than the candidates it rules out.  A pair has to
 share min(m, m') prefix elements before its sets are compared.
 
+The prefix of a document that lacks too many elements elsewhere has none that another holds: such
+documents are found by counting, and neither their sets nor their prefixes are made at all.
+
 Links inside a group of copies are not listed: equal sets are one vertex, and within an n-gram's
 documents a few hubs are compared with all others first.  What that joins into one component needs
 no further comparison; what stays apart is compared with more hubs until every pair of documents of
@@ -13,7 +16,6 @@ different components that shares a prefix element has been compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +23,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from . import holders
 from .common import durable, flat_bytes, forget, mix64, slices, tidy, to_arrow, utf8
 from .components import contract
 from .words import LOWER, word_hashes, word_spans
 
-#: Counters of the sketch that orders n-grams; its size doesn't grow with the corpus.
-SKETCH = 1 << 18
-#: Prefix elements that a document may have to share, at most.
-MOST_MATCHES = 4
+#: Prefix elements that a document may have to share: what it chooses from.
+MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 #: Cost of verifying a candidate against that of posting one prefix element.
 VERIFY_COST = 4.0
 #: Groups of at most this many open documents are compared pair by pair.
 SMALL_GROUP = 16
-#: Keys that are broadcast at most to choose texts.
+#: Of so many n-grams one, in the rounds that look at some only.
+SAMPLES = (16, 4)
+#: Keys that are broadcast at most to choose texts or rename components.
 BROADCAST_KEYS = 500_000
 
 
@@ -91,20 +94,20 @@ def least_shared(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
-def choose_matches(counts: np.ndarray, offsets: np.ndarray, percent: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix length, matches) of each set; counts are its elements' sketch counts in prefix order.
+def choose_matches(others: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix length, matches) of each set; others are its elements' other holders in prefix order.
 
     The expected candidates of a prefix are the other holders of its elements over the matches
-    asked for; `floor` is the count that chance alone gives.
+    asked for.
     """
     size = np.diff(offsets)
-    base = size - least_shared(size, percent)
-    holders = np.concatenate([[0.0], np.cumsum(np.maximum(0, counts - floor))])
+    least = least_shared(size, percent)
+    base = size - least
+    total = np.concatenate([[0], np.cumsum(others)])
     matches, cost = np.zeros(len(size), np.int64), np.full(len(size), np.inf)
-    for m in range(1, MOST_MATCHES + 1):
-        length = base + m
-        held = holders[np.minimum(offsets[:-1] + length, offsets[1:])] - holders[offsets[:-1]]
-        price = np.where((m <= least_shared(size, percent)) & (size > 0), length + VERIFY_COST * held / m, np.inf)
+    for m in MATCHES:
+        held = total[np.minimum(offsets[:-1] + base + m, offsets[1:])] - total[offsets[:-1]]
+        price = np.where((m <= least) & (size > 0), base + m + VERIFY_COST * held / m, np.inf)
         better = price < cost
         matches, cost = np.where(better, m, matches), np.where(better, price, cost)
     return np.minimum(size, base + matches) * (size > 0), matches
@@ -126,69 +129,79 @@ def link_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     rows = rows.select("id", F.xxhash64("b").alias("th"), "b")
 
     def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, schema = np.zeros(SKETCH, np.int64), None
-        for part, offsets, values in each_set(batches, n):
-            schema = pa.schema([("id", part.schema.field(0).type), ("th", pa.int64()), ("n", pa.int64()), ("v", pa.binary()), ("bucket", pa.int32())])
-            sketch += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-            yield to_arrow(schema, id=part.column(0), th=part.column(1), n=np.diff(offsets), v=signatures(offsets, values), bucket=pa.nulls(part.num_rows, pa.int32()))
-        if schema is not None:
-            used = np.flatnonzero(sketch)
-            none = pa.nulls(len(used), schema.field(0).type)
-            yield to_arrow(schema, id=none, th=pa.nulls(len(used), pa.int64()), n=sketch[used], v=pa.nulls(len(used), pa.binary()), bucket=used.astype(np.int32))
-
-    scanned = durable(rows.mapInArrow(first_scan, f"id {kind}, th long, n long, v binary, bucket int"), "ngram-scan")
-    sets = scanned.where("bucket IS NULL").select("id", "n", "v")
-    total = scanned.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
-    sketch = np.zeros(SKETCH, np.int64)
-    sketch[total.column("bucket").to_numpy()] = total.column("n").to_numpy()
-    # counts differ by chance; only what stands out from that orders elements
-    floor = float(np.median(sketch) + 3 * np.sqrt(np.median(sketch)))
-    level = np.floor(4 * np.log2(np.maximum(1.0, sketch - floor + 1))).astype(np.int64)
-    sketch_b, level_b = spark.sparkContext.broadcast(sketch), spark.sparkContext.broadcast(level)
-
-    def prefix_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("t", pa.int64()), ("v", pa.binary()), ("n", pa.int32()), ("m", pa.int8()), ("i", pa.int32())])
-        counts, levels, seen = sketch_b.value, level_b.value, set()
         for part, offsets, values in each_set(batches, n):
-            size = np.diff(offsets)
-            owner = np.repeat(np.arange(len(size)), size)
-            bucket = (values & np.uint64(SKETCH - 1)).astype(np.int64)
-            order = np.lexsort((values, levels[bucket], owner))
-            values, bucket = values[order], bucket[order]
-            length, matches = choose_matches(counts[bucket].astype(np.float64), offsets, percent, floor)
-            keys = signatures(offsets, values)
-            for i, key in enumerate(keys):  # equal sets of a task are posted once
-                if key in seen:
-                    length[i] = 0
-                elif key is not None and len(seen) < 1_000_000:
-                    seen.add(key)
-            own = np.repeat(np.arange(len(size)), length)
-            at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length) + offsets[own]
-            take = pa.array(own)
-            yield to_arrow(schema, t=values[at].view(np.int64), v=pa.array(keys, pa.binary()).take(take), n=size[own].astype(np.int32), m=matches[own].astype(np.int8), i=(at - offsets[own]).astype(np.int32))
-
-    posted = rows.select("b").mapInArrow(prefix_scan, "t long, v binary, n int, m byte, i int")
-    holders = Window.partitionBy("t")
-    postings = posted.withColumn("low", F.min("v").over(holders)).withColumn("high", F.max("v").over(holders)).where("low <> high").select("t", "v", "n", "m", "i").distinct()
-    postings = durable(postings, "ngram-postings")
+            schema = pa.schema([("id", part.schema.field(0).type), ("th", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
+            yield to_arrow(schema, id=part.column(0), th=part.column(1), n=np.diff(offsets), v=signatures(offsets, values))
+
+    scanned = durable(rows.mapInArrow(first_scan, f"id {kind}, th long, n long, v binary"), "ngram-scan")
+    open_sets = durable(sets_with_prefixes(rows, scanned, n, percent), "ngram-open-sets")
     tidy(spark)
-    texts = Texts(rows.select("th", "b"), scanned.where("v IS NOT NULL").select("v", "th"))
-    links = durable(verified_links(texts, postings, n, percent), "ngram-all-links")
-    classes = sets.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("first"))
-    roots = contract(links)
-    joined = classes.join(roots, "v", "left").select("v", "first", F.coalesce("c", "v").alias("root"))
-    joined = durable(joined, "ngram-classes")
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = joined.join(least, "root").select("v", "component_id")
-    out = sets.join(of_class, "v", "left")
+    links = durable(verified_links(open_sets, percent), "ngram-all-links")
+    roots = contract(links).withColumnRenamed("v", "d")
+    joined = open_sets.select("d", "v").join(roots, "d", "left").select("v", F.coalesce("c", "d").alias("root"))
+    classes = scanned.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("first"))
+    joined = durable(joined.join(classes, "v"), "ngram-classes")
+    forget(spark, open_sets, links, roots)
+    least = joined.groupBy("root").agg(F.min("first").alias("least"))
+    of_class = classes.join(joined.join(least, "root").select("v", "least"), "v", "left").select("v", F.coalesce("least", "first").alias("component_id"))
+    out = scanned.select("id", "n", "v").join(of_class, "v", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-class Texts(NamedTuple):
-    """rows(th, b): texts with their hash; keys(v, th): which texts have a class's set."""
+def sets_with_prefixes(rows: DataFrame, scanned: DataFrame, n: int, percent: int) -> DataFrame:
+    """d, v, n, m, share, p, i, s of the classes that may link.
+
+    p and i: the prefix elements that other open sets hold too, and their places in the order; share: how
+    many they are of the n elements; s: the set; d: a number that stands for the class v.
+    """
+    spark = rows.sparkSession
+    text_sets = lambda batches: ((signatures(offsets, values), offsets, values) for _, offsets, values in each_set(batches, n))
+    buckets = holders.bucket_count(scanned.agg(F.sum("n")).first()[0])
+    alive = durable(holders.keep_shared(rows.select("b"), text_sets, buckets, lambda size: least_shared(size, percent)).distinct(), "ngram-alive")
+    tidy(spark)
+    sets = durable(read_sets(rows.select("th", "b"), scanned.join(alive, "v", "left_semi"), n), "ngram-sets")
+    forget(spark, alive)
+
+    def stored_sets(batches: Iterator[pa.RecordBatch]) -> holders.Sets:
+        for batch in batches:
+            lists = batch.column("s")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy().view(np.uint64)
+            yield batch.column("v").to_pylist(), offsets, values
+
+    def prefixes_of_part(table: pa.Table) -> pa.Table:
+        keys, offsets, values, count, _ = holders.sets_of_part(table)
+        size = np.diff(offsets)
+        order = np.lexsort((values, count, np.repeat(np.arange(len(size)), size)))
+        ordered, others = values[order].view(np.int64), count[order] - 1
+        length, matches = choose_matches(others, offsets, percent)
+        at = np.arange(len(values)) - np.repeat(offsets[:-1], size)
+        open_ = (at < np.repeat(length, size)) & (others > 0)
+        ends = np.concatenate([[0], np.cumsum(open_)])[offsets]
+        some = np.flatnonzero(np.diff(ends))
+        lists = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)).take(pa.array(some))
+        task, flush = divmod(table.column("part")[0].as_py(), 1 << 32)
+        numbers = (task << 44) + (flush << 18) + some
+        prefix = {"share": np.diff(ends)[some] / size[some], "p": lists(ends, ordered[open_]), "i": lists(ends, at[open_].astype(np.int32))}
+        return pa.table({"d": numbers, "v": pa.array([keys[k] for k in some], pa.binary()), "n": size[some].astype(np.int32), "m": matches[some].astype(np.int32), **prefix, "s": lists(offsets, values.view(np.int64))})
+
+    buckets = holders.bucket_count(sets.agg(F.sum(F.size("s"))).first()[0])
+    return holders.with_holders(sets.select("v", "s"), stored_sets, buckets, prefixes_of_part, "d long, v binary, n int, m int, share double, p array<long>, i array<int>, s array<long>")
+
+
+def read_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """v, s: the sets of the wanted(v, th) classes, from one of the texts(th, b) of each."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("v", pa.binary()), ("s", pa.list_(pa.int64()))])
+        for part, offsets, values in each_set(batches, n):
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+            yield to_arrow(schema, v=pa.array(signatures(offsets, values), pa.binary()), s=lists)
 
-    rows: DataFrame
-    keys: DataFrame
+    by_text = durable(wanted.groupBy("v").agg(F.min("th").alias("th")).select("th").distinct(), "ngram-texts")  # before it is counted
+    chosen = texts.join(F.broadcast(by_text) if by_text.count() <= BROADCAST_KEYS else by_text, "th", "left_semi")
+    chosen = chosen.groupBy("th", F.xxhash64("b", F.lit(1))).agg(F.first("b").alias("b"))
+    return chosen.select("b").mapInArrow(scan, "v binary, s array<long>").where("v IS NOT NULL")
 
 
 def close(a: Column, b: Column, percent: int) -> Column:
@@ -196,41 +209,36 @@ def close(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verified_links(texts: Texts, postings: DataFrame, n: int, percent: int) -> DataFrame:
+def verified_links(open_sets: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of classes that link, enough of them to join all that links join.
 
-    The first round takes a sixteenth of the n-grams,
-    which joins most copies; the rounds after it take all n-grams that still hold documents of
-    different components.
+    The first rounds look at some of the n-grams only and compare each document with the hub that it
+    meets most often, which joins most copies; the rounds after them take all n-grams that still hold
+    documents of different components, and all their hubs.
     """
-    spark = postings.sparkSession
-    prefixes = durable(postings.groupBy("v", "n", "m").agg(F.collect_list("t").alias("p")), "ngram-prefixes")
-    found, sets = [], None
-    sampled = postings.where(F.pmod("t", F.lit(16)) == 0).withColumn("c", F.col("v"))
-    ranked = rank_hubs(sampled, prefixes, 1)
-    links, sets = compare(ranked, prefixes, texts, sets, n, percent)
-    forget(spark, ranked)
-    rest, hubs_each = postings.withColumn("c", F.col("v")), 1
-    if links is not None:
-        found.append(links)
-        rest = relabelled(rest, contract(links))
+    spark = open_sets.sparkSession
+    found = []
+    entries = open_sets.select("d", "n", "share", F.explode(F.arrays_zip("p", "i")).alias("e"))
+    rest, sample, hubs_each = entries.select(F.col("e.p").alias("t"), "d", "n", F.col("e.i").alias("i"), "share", F.col("d").alias("c")), list(SAMPLES), 1
     while True:
-        alive = rest.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("t")
-        after = durable(rest.join(alive, "t", "left_semi").select("t", "v", "n", "m", "i", "c"), "ngram-rest")
+        some = sample.pop(0) if sample else 1
+        ranked = rank_hubs(rest.where(F.pmod("t", F.lit(some)) == 0), hubs_each)
         tidy(spark)
-        if after.isEmpty():
+        if ranked.isEmpty() and some == 1:
+            forget(spark, ranked)
             break
-        ranked = rank_hubs(after, prefixes, hubs_each)
-        forget(spark, after)
-        links, sets = compare(ranked, prefixes, texts, sets, n, percent)
-        rest, hubs_each = ranked.where("NOT hub").select("t", "v", "n", "m", "i", "c"), hubs_each * 4  # what was a hub is done with
+        links = compare(ranked, open_sets, percent, some > 1)
+        if some == 1:
+            rest, hubs_each = ranked.where("NOT hub").select("t", "d", "n", "i", "share", "c"), hubs_each * 4  # what was a hub is done with
         if links is None:
             continue
         found.append(links)
-        label = lambda e: ranked.select(F.col("v").alias(e), F.col("c").alias(f"c{e}")).distinct()  # noqa: B023, E731
+        label = lambda e: ranked.select(F.col("d").alias(e), F.col("c").alias(f"c{e}")).distinct()  # noqa: B023, E731
         merged = contract(links.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         rest = relabelled(rest, merged)
-    out = spark.createDataFrame([], "a binary, b binary")
+        if some > 1:
+            forget(spark, ranked)
+    out = spark.createDataFrame([], "a long, b long")
     for links in found:
         out = out.unionByName(links)
     return out.distinct()
@@ -238,72 +246,64 @@ def verified_links(texts: Texts, postings: DataFrame, n: int, percent: int) -> D
 
 def relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
     """rows with each component replaced by what it was merged into."""
-    return rows.join(merged.select(F.col("v").alias("c"), F.col("c").alias("root")), "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
+    merged = merged.select(F.col("v").alias("c"), F.col("c").alias("root"))
+    return rows.join(F.broadcast(merged) if merged.count() <= BROADCAST_KEYS else merged, "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
 
 
-def rank_hubs(rows: DataFrame, prefixes: DataFrame, hubs_each: int) -> DataFrame:
-    """rows with place and hub: of each n-gram the first documents, one of each component before a second of any.
+def rank_hubs(rows: DataFrame, hubs_each: int) -> DataFrame:
+    """rows of n-grams that hold documents of different components, with place and hub.
 
-    First come those that share most of their prefix with anyone: among near copies the least
-    changed, which link to most others.
+    Hubs are the first documents of an n-gram, one of each component before a second of any.  First come
+    those that share most of their prefix with anyone: among near copies the least changed, which link
+    to most others.
     """
-    shares = prefixes.select("v", (F.size("p") / F.greatest(F.lit(1), F.col("n"))).alias("share"))
-    rows = rows.join(shares, "v").repartition("t")
-    order = [F.col("share").desc(), F.xxhash64("v"), F.col("v")]
-    turn = F.row_number().over(Window.partitionBy("t", "c").orderBy(*order))
+    order = [F.col("share").desc(), F.xxhash64("d"), F.col("d")]
     in_gram = Window.partitionBy("t")
-    ranked = rows.withColumn("turn", turn).withColumn("place", F.row_number().over(in_gram.orderBy("turn", *order))).withColumn("all", F.count(F.lit(1)).over(in_gram))
+    open_ = rows.withColumn("low", F.min("c").over(in_gram)).withColumn("high", F.max("c").over(in_gram)).withColumn("all", F.count(F.lit(1)).over(in_gram)).where("low <> high")
+    turn = F.row_number().over(Window.partitionBy("t", "c").orderBy(*order))
+    ranked = open_.withColumn("turn", turn).withColumn("place", F.row_number().over(in_gram.orderBy("turn", *order)))
     hub = F.col("place") <= F.when(F.col("all") <= SMALL_GROUP, F.col("all")).otherwise(F.lit(hubs_each))
-    return durable(ranked.select("t", "v", "n", "m", "i", "c", "place", hub.alias("hub")), "ngram-open")
+    return durable(ranked.select("t", "d", "n", "i", "share", "c", "place", hub.alias("hub")), "ngram-open")
 
 
-def compare(ranked: DataFrame, prefixes: DataFrame, texts: Texts, sets: DataFrame | None, n: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links between documents and hubs of other components, the sets read so far); None without any.
+def compare(ranked: DataFrame, open_sets: DataFrame, percent: int, first_only: bool) -> DataFrame | None:
+    """Links between documents and hubs of other components; None without any.
 
     A pair shares at most what its prefixes share and what lies behind one of them; its sets are
     read only if that reaches what a link takes and the prefixes share the elements asked for.  An
-    element brings a pair up only if it can be the first that the two share.
+    element brings a pair up only if it can be the first that the two share.  With first_only each
+    document is compared with one hub, that which comes up by most elements.
     """
     spark = ranked.sparkSession
-    x, y = ranked.select("t", "v", "n", "i", "c", "place").alias("x"), ranked.where("hub").select("t", "v", "n", "i", "c", "place").alias("y")
+    x, y = ranked.select("t", "d", "n", "i", "c", "place").alias("x"), ranked.where("hub").select("t", "d", "n", "i", "c", "place").alias("y")
     # at the first element that a pair shares, what stands from it on in each set holds all they share
     reachable = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     pairs = x.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.c") != F.col("y.c")) & (F.col("x.place") > F.col("y.place")) & close(F.col("x.n"), F.col("y.n"), percent) & reachable)
-    pairs = pairs.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
-    side = lambda e: prefixes.select(F.col("v").alias(e), *(F.col(k).alias(f"{k}_{e}") for k in ("p", "n", "m")))
+    pairs = pairs.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"))
+    if first_only:
+        most = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).groupBy("a").agg(F.max(F.struct("times", F.xxhash64("b"), "b")).alias("one"))
+        pairs = most.select("a", "one.b")
+    met = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-met")
     shared = F.size(F.array_intersect("p_a", "p_b"))
     behind = lambda e: F.ceil(F.col(f"n_{e}") * percent / 100) - F.col(f"m_{e}")
     enough = (shared + F.greatest(behind("a"), behind("b"), F.lit(0))) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    pairs = durable(pairs.join(side("a"), "a").join(side("b"), "b").where((shared >= F.least("m_a", "m_b")) & enough).select("a", "b"), "ngram-pairs")
+    pairs = durable(with_sides(met, open_sets, "p", "n", "m").where((shared >= F.least("m_a", "m_b")) & enough).select("a", "b"), "ngram-pairs")
+    forget(spark, met)
     if pairs.isEmpty():
         forget(spark, pairs)
-        return None, sets
-    wanted = pairs.select(F.col("a").alias("v")).unionAll(pairs.select(F.col("b").alias("v"))).distinct()
-    if sets is not None:
-        wanted = wanted.join(sets.select("v"), "v", "left_anti")
-    wanted = durable(wanted, "ngram-wanted")
-    if sets is None or not wanted.isEmpty():
-        fresh = durable(read_sets(texts, wanted, n), "ngram-sets")
-        sets = fresh if sets is None else sets.unionByName(fresh)
-    side = lambda e: sets.select(F.col("v").alias(e), F.col("s").alias(f"s_{e}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
+        return None
+    both = with_sides(pairs, open_sets, "s").withColumn("i", F.size(F.array_intersect("s_a", "s_b")))
     links = durable(both.where(F.col("i") * 100 >= (F.size("s_a") + F.size("s_b") - F.col("i")) * percent).select("a", "b"), "ngram-links")
-    forget(spark, pairs, wanted)
+    forget(spark, pairs)
     tidy(spark)
-    return links, sets
-
-
-def read_sets(texts: Texts, wanted: DataFrame, n: int) -> DataFrame:
-    """v, s: the sets of the wanted classes, from one text of each."""
+    return links
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("v", pa.binary()), ("s", pa.list_(pa.int64()))])
-        for part, offsets, values in each_set(batches, n):
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield to_arrow(schema, v=pa.array(signatures(offsets, values), pa.binary()), s=lists)
 
-    by_text = texts.keys.join(wanted, "v", "left_semi").groupBy("v").agg(F.min("th").alias("th")).select("th").distinct()
-    if wanted.count() <= BROADCAST_KEYS:
-        by_text = F.broadcast(by_text)
-    chosen = texts.rows.join(by_text, "th", "left_semi").groupBy("th", F.xxhash64("b", F.lit(1))).agg(F.first("b").alias("b"))
-    return chosen.select("b").mapInArrow(scan, "v binary, s array<long>").join(wanted, "v", "left_semi").dropDuplicates(["v"])
+def with_sides(pairs: DataFrame, open_sets: DataFrame, *columns: str) -> DataFrame:
+    """A written table of pairs with columns of both sides; where few are asked for, no others are shuffled."""
+    if pairs.count() <= BROADCAST_KEYS:
+        asked = pairs.select(F.col("a").alias("d")).unionAll(pairs.select(F.col("b").alias("d"))).distinct()
+        open_sets = open_sets.join(F.broadcast(asked), "d", "left_semi")
+    for e in ("a", "b"):
+        pairs = pairs.join(open_sets.select(F.col("d").alias(e), *(F.col(k).alias(f"{k}_{e}") for k in columns)), e)
+    return pairs

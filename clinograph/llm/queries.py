@@ -31,7 +31,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), 400)
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), 400, passage_words=51)
 
 
 def op4_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on documents against brute force."""
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -66,8 +67,8 @@ def test_components_of_nothing(empty):
 
 def test_longer_prefixes_are_chosen_for_common_elements():
     counts = np.array([1.0] * 3 + [1000.0] * 27)
-    assert ngram_join.choose_matches(np.ones(30), np.array([0, 30]), 85, 1.0)[1][0] == 1
-    length, matches = ngram_join.choose_matches(np.sort(counts), np.array([0, 30]), 85, 1.0)
+    assert ngram_join.choose_matches(np.zeros(30), np.array([0, 30]), 85)[1][0] == 1
+    length, matches = ngram_join.choose_matches(np.sort(counts), np.array([0, 30]), 85)
     assert matches[0] > 1 and length[0] == 30 - 26 + matches[0]
 
 
@@ -98,7 +99,8 @@ def test_repeats_equal_brute_force(docs, rows, length):
 
 
 def test_repeats_of_common_anchors(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CONTEXTS_PER_ANCHOR", 1)
+    whole = suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda texts, length, units: whole(texts, length, units, most_contexts=1))
     got = suffix_dedup.remove_repeats(docs, 100).collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats([r[1] for r in rows], 100)
 
@@ -119,18 +121,40 @@ def test_repeats_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_run_index_neighbours_are_those_of_the_suffix_array():
-    contexts = [b"banana" * 9, b"bandana" * 7, b"banana" * 9 + b"x", b"\x00\xff" * 20]
-    index = suffix_dedup.RunIndex(contexts)
-    text = index.symbols.tolist()
-    ends = [i for i, s in enumerate(text) if s == 0]
-    order = {e: -len(ends) + k for k, e in enumerate(ends)}  # each context's end is its own symbol
-    whole = [order[i] if i in order else s for i, s in enumerate(text)]
-    suffixes = sorted(range(len(whole)), key=lambda i: whole[i:])
-    at = np.array(suffixes[1:])
-    assert suffix_dedup.RunIndex.neighbour(index.lower, at).tolist() == suffixes[:-1]
-    assert suffix_dedup.RunIndex.neighbour(index.upper, np.array(suffixes[:-1])).tolist() == suffixes[1:]
-    assert index.runs < len(whole) // 3
+@pytest.mark.parametrize("kind", [np.uint8, np.uint64])
+def test_matching_statistics_are_longest_matches(kind):
+    contexts = [b"banana" * 9, b"bandana" * 7, b"banana" * 9 + b"x", b"\x00\xff" * 20, b"an", bytes(random.Random(3).choices(b"ab", k=90))]
+    index = suffix_dedup.RunIndex([np.frombuffer(c, np.uint8).astype(kind) * kind(1 if kind is np.uint8 else 2**55 + 1) for c in contexts])
+    got = index.matching_statistics()
+    ends = [c[i:] for c in contexts for i in range(len(c))]
+    common = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    best = [max(common(x, y) for j, y in enumerate(ends) if j != i) for i, x in enumerate(ends)]
+    inner = np.concatenate([np.arange(s, s + len(c)) for s, c in zip(index.starts, contexts)])
+    assert got[inner].tolist() == best
+    assert index.runs < len(index.symbols) // 2
+
+
+def test_equal_windows_of_one_anchor_go_through_the_index(docs, monkeypatch):
+    marked = []
+    inner = suffix_dedup.index_spans
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    shared = " ".join(word() for _ in range(40))
+    texts = [" ".join(word() for _ in range(20)) + " " + shared + " " + " ".join(word() for _ in range(20)) for _ in range(5)]
+    for length, units in ((100, suffix_dedup.BYTES), (12, suffix_dedup.WORDS)):
+        values = [units.read(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in texts]
+        spans = inner(values, [True] * 5, length)
+        marked.append(sorted({z - a + length for _, a, z in spans}))
+    assert marked[0][0] >= len(shared.encode()) and marked[1] == [40]
+
+
+def test_words_of_repeated_passages(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    fifty, more, copy = prose(50), prose(51), prose(70)
+    rows = [(1, prose(30) + " " + fifty + " " + prose(9)), (2, fifty + " " + prose(70)), (3, prose(9) + "\n" + more + " " + prose(60)), (4, more.replace(" ", "  ") + " " + prose(80)), (5, copy), (6, copy), (7, prose(300)), (8, None), (9, "")]
+    got = {r.doc_id: r.passage_words for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400, passage_words=51).collect()}
+    assert got == {1: 0, 2: 0, 3: 51, 4: 51, 5: 70, 6: 70, 7: 0, 8: 0, 9: 0}
 
 
 def test_cut_texts_stay_text(docs, rows):

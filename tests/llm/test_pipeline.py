@@ -1,5 +1,6 @@
 """The pipeline's stages on small documents, each against brute force."""
 import random
+from collections import Counter
 
 import pytest
 
@@ -7,7 +8,7 @@ import corpus_pipeline as pipeline
 from clinograph.llm.common import durable
 
 from .conftest import SCHEMA as WIDE
-from .test_documents import brute_components, brute_repeats
+from .test_documents import brute_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,6 +28,13 @@ def world(tmp_path, spark):
     return rows, str(tmp_path), passage
 
 
+def brute_cut(texts, length):
+    words = {i: (t or "").split() for i, t in texts.items()}
+    seen = Counter(tuple(w[k : k + length]) for w in words.values() for k in range(len(w) - length + 1))
+    gone = {i: {j for k in range(len(w) - length + 1) if seen[tuple(w[k : k + length])] > 1 for j in range(k, k + length)} for i, w in words.items()}
+    return {i: [x for j, x in enumerate(w) if j not in gone[i]] for i, w in words.items()}
+
+
 def test_stages(spark, tmp_path):
     rows, folder, passage = world(tmp_path, spark)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -46,8 +54,7 @@ def test_stages(spark, tmp_path):
     got = {r.doc_id: r for r in cut.collect()}
     before = {r.doc_id: r.text for r in single.collect()}
     assert passage[:200] not in got[1003].text and passage[:200] not in got[1004].text
-    lengths = sorted(n - gone for n, gone, *_ in brute_repeats([t for t in before.values()], pipeline.PASSAGE_BYTES))
-    assert lengths == sorted(len((r.text or "").encode()) for r in got.values()) and set(before) == set(got)
+    assert {i: (r.text or "").split() for i, r in got.items()} == brute_cut(before, pipeline.PASSAGE_WORDS)
     assert all(got[i].text == t and got[i].n_chars in (1, None) for i, t in before.items() if i not in (1003, 1004))
     assert got[1003].n_chars == len(got[1003].text)
 
