@@ -12,10 +12,8 @@ from clinograph.llm import ngram_join, packing, quality, suffix_dedup
 from clinograph.llm.common import durable, read
 from clinograph.llm.queries import tokenizer
 
-#: Words that a repeated passage has more of.
-PASSAGE_WORDS = 50
-#: Bytes of the strings that passages are found by: so many words and one, each a letter, and the blanks between.
-PASSAGE_BYTES = 2 * PASSAGE_WORDS + 1
+#: Words of the shortest repeated passage that is cut.
+PASSAGE_WORDS = 51
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +39,13 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every run of bytes that repeated strings of PASSAGE_BYTES bytes cover and that holds over PASSAGE_WORDS words.
+    """Cuts every run of words that repeated strings of PASSAGE_WORDS words cover, with the white space inside it.
 
-    Repeats that touch or overlap are one run; words in part inside don't count.  n_chars follows the text.  A character of which a part would be left goes as a whole; a text
-    that is cut to nothing stays as an empty row, and a null text stays null.
+    Words are equal as bytes, whatever white space parts them.  Repeats that touch or overlap are one
+    run.  n_chars follows the text.  A text that is cut to nothing stays as an empty row, and a null
+    text stays null.
     """
-    cut = suffix_dedup.with_repeats_removed(docs, PASSAGE_BYTES, "doc_id", "text", PASSAGE_WORDS)
+    cut = suffix_dedup.with_repeats_removed(docs, PASSAGE_WORDS, "doc_id", "text", suffix_dedup.WORDS)
     return cut.withColumn("n_chars", F.when(F.col("was_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
