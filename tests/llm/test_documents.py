@@ -1,5 +1,6 @@
 """Operators on documents against brute force."""
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -183,7 +184,7 @@ def test_shards_are_even_with_a_hot_text(spark):
     assert len(sizes) == 24 and max(abs(s - mean) for s in sizes.values()) < 0.03 * mean
 
 
-def test_media(docs, rows, empty):
+def test_media(spark, docs, rows, empty):
     got = jpeg_media.media_features(jpeg_media.store_media(docs)).collect()
     want = []
     for r in rows:
@@ -192,6 +193,54 @@ def test_media(docs, rows, empty):
         want.append((len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])))
     assert sorted((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == sorted(want)
     assert jpeg_media.media_features(jpeg_media.store_media(empty)).count() == 0
+    stored = {bytes(r.media) for r in jpeg_media.store_media(docs).collect()}
+    told = {hashlib.sha256(m).hexdigest(): (len(m), m) for m in stored}
+    assert all(told[r.media_sha256][0] == r.media_bytes for r in got)
+    for r in got:
+        if r.n_bytes < 10_000:
+            image, blocks = told[r.media_sha256][1], -(-max(1, r.n_bytes) // 64)
+            grid = plain_blocks(image)
+            assert hashlib.sha256(b"".join(bytes(v + 128 if v < 0 else v + 127 for v in block) for block in grid[:blocks])).hexdigest() == r.payload_sha256
+            side = math.ceil(math.sqrt(blocks))
+            thumb = np.array([min(255, max(0, round(block[0] / 8 + 128))) for block in grid], np.uint8).reshape(-1, side)
+            assert r.feature.startswith(f"{8 * side}x{8 * len(thumb)}:") and r.feature.endswith(f":{zlib.crc32(thumb.tobytes()):08x}")
+
+
+def plain_blocks(data):
+    """The blocks of a grey image with a restart after each, bit by bit."""
+    tables, at = {}, 2
+    while data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        body = data[at + 4 : at + 2 + size]
+        if data[at + 1] == 0xC4:
+            tables[body[0]] = {(f"{code:0{length}b}"): symbol for symbol, (code, length) in codes(list(body[1:17]), list(body[17:])).items()}
+        at += 2 + size
+    scan, out = data[at + 2 + int.from_bytes(data[at + 2 : at + 4], "big") : -2], []
+    for part in re.split(rb"\xff[\xd0-\xd7]", scan):
+        bits, place, block = "".join(f"{b:08b}" for b in part.replace(b"\xff\x00", b"\xff")), 0, []
+        while len(block) < 64:
+            table, length = tables[0x10 if block else 0], 1
+            while bits[place : place + length] not in table:
+                length += 1
+            symbol = table[bits[place : place + length]]
+            assert symbol >> 4 == 0 and symbol
+            raw = bits[place + length : place + length + symbol]
+            block.append(int(raw, 2) if raw[0] == "1" else int(raw, 2) - (1 << symbol) + 1)
+            place += length + symbol
+        assert len(bits) - place < 8
+        out.append(block)
+    return out
+
+
+def test_media_that_hold_nothing(spark):
+    good = jpeg_media.encode(b"some text " * 30)
+    rows = [(1, None), (2, b""), (3, b"no image"), (4, good[:200]), (5, good[: len(good) // 2]), (6, good.replace(b"payload", b"nothing")), (7, good), (8, good[:-40] + b"\xff\xd9")]
+    got = {r.doc_id: r for r in jpeg_media.media_features(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)).collect()}
+    assert got[1].media_bytes is None and got[1].feature is None
+    assert all(got[i].media_bytes == len(rows[i - 1][1]) and got[i].feature is None and got[i].n_bytes is None for i in (2, 3, 4, 5))
+    assert got[6].feature == got[7].feature and got[6].n_bytes is None and got[7].n_bytes == 300
+    assert got[7].payload_sha256 == hashlib.sha256(b"some text " * 30 + bytes(20)).hexdigest()
+
 
 
 class Bits:
