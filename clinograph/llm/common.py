@@ -38,8 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, deleted when the driver ends at the latest."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def durable(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -50,8 +53,6 @@ def durable(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = work_path(spark, label)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
 

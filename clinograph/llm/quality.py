@@ -134,25 +134,26 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(depth, base, feature, threshold, value)
 
 
-def with_features(docs: DataFrame, extra: list[str], model: Trees | None, id_col: str, text_col: str) -> DataFrame:
-    """extra columns and, without a model, the statistics; with one, the score."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    made_name = "score" if model else "x"
-    while made_name in extra:
-        made_name += "_"
-    result = f"`{made_name}` double" if model else f"`{made_name}` array<float>"
+def with_features(docs: DataFrame, model: Trees | None) -> DataFrame:
+    """docs, whose last column is a text, with the score as a column more; without a model with the statistics.
+
+    Columns come back by place, named c0, c1, ..., whatever their names were.
+    """
+    docs = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    kinds = ", ".join(f"{c} {kind}" for c, kind in docs.dtypes)
+    last = len(docs.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, len(extra)):
-                x = features(*flat_bytes(part.column(len(extra))))
+            for part in slices(batch, last):
+                x = features(*flat_bytes(part.column(last)))
                 if model:
                     made = pa.array(model.probability(x))
                 else:
                     made = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(extra))), made], names=[*extra, made_name])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*batch.schema.names, "made"])
 
-    return docs.select(*extra, F.col(text_col).alias("quality_text")).mapInArrow(run, f"{kinds}, {result}")
+    return docs.mapInArrow(run, f"{kinds}, made {'double' if model else 'array<float>'}")
 
 
 def held_out(id_col: str) -> F.Column:
@@ -163,26 +164,28 @@ def held_out(id_col: str) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Fits trees on at most sample_rows labelled documents that are not held out.
 
-    Null labels and ids don't count; an id labelled twice takes the larger label.  The sample is the
-    labelled ids of smallest hash, so it doesn't depend on how the tables are laid out.
+    Null labels and ids don't count; an id labelled twice takes the larger label, and of rows that
+    repeat an id that with the smallest text counts.  The sample is the labelled ids of smallest hash,
+    so it doesn't depend on how the tables are laid out.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("known_id"), F.col(label_col).alias("known_label")).where(~held_out("known_id"))
-    known = known.groupBy("known_id").agg(F.max("known_label").cast("int").alias("known_label")).orderBy(F.xxhash64("known_id"), "known_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("known_id")).select("known_id", "known_label", F.col(text_col).alias("known_text"))
-    table = with_features(rows, ["known_id", "known_label"], None, "known_id", "known_text").toArrow()
-    table = table.sort_by([("known_id", "ascending")])
-    x = np.array(table.column("x").to_pylist(), np.float32).reshape(table.num_rows, N_FEATURES)
-    return fit(x, table.column("known_label").to_numpy().astype(np.float64))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where("id IS NOT NULL AND label IS NOT NULL").where(~held_out("id"))
+    known = known.groupBy("id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # at most sample_rows of them
+    table = with_features(rows, None).drop("c2").toArrow().sort_by([("c0", "ascending")])
+    x = np.array(table.column("made").to_pylist(), np.float32).reshape(table.num_rows, N_FEATURES)
+    return fit(x, table.column("c1").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted for each row, whole text; a null text counts as empty."""
-    out = with_features(docs, [id_col], model, id_col, text_col)
-    return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    made = with_features(docs.select(id_col, text_col), model)
+    return made.select(F.col("c0").alias(id_col), held_out("c0").alias("held_out"), F.col("made").alias("score"), (F.col("made") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least 0.5."""
-    columns = docs.columns
-    scored = with_features(docs, columns, model, id_col, text_col)
-    return scored.where(F.col(scored.columns[-1]) >= 0.5).select(*columns)
+def keep_good(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least 0.5.  Columns may have any names."""
+    order = [c for c in docs.columns if c != text_col] + [text_col]
+    made = with_features(docs.select(*(F.col(f"`{c}`") for c in order)), model)
+    kept = made.where(F.col("made") >= 0.5).drop("made").toDF(*order)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
