@@ -99,30 +99,63 @@ def holds(found: dict, filters: list[tuple]) -> bool:
     return all(found[name] is not None and (kind is IsNotNull or TESTS[kind](found[name], value)) for kind, name, value in filters)
 
 
+class Malformed(ValueError):
+    """A record that can't be read whole."""
+
+
 class Records:
-    """Goes through the records of one file, compressed or not."""
+    """Goes through the records of one file, compressed or not.
+
+    A record without an end to its head, without a length in figures, or cut off is malformed: it comes
+    as None.  Reading goes on behind it where its end is known, else at the next line that begins a
+    record, and ends in a compressed file whose members tell no length.
+    """
 
     def __init__(self, file: io.BufferedReader) -> None:
         self.file = file
         self.inflated = 0  # bytes made by inflating, for tests
+        self.end = file.seek(0, io.SEEK_END)
+        file.seek(0)
 
-    def __iter__(self) -> Iterator[tuple[dict[str, str], callable]]:
+    def __iter__(self) -> Iterator[tuple[dict[str, str], callable] | None]:
         """(headers, block): block() gives the record's block, and inflates it only then."""
         packed = self.file.peek(2)[:2] == b"\x1f\x8b"
-        while True:
-            entry = self.compressed() if packed else self.plain()
+        while (start := self.file.tell()) < self.end:
+            try:
+                entry = self.compressed() if packed else self.plain()
+            except (Malformed, zlib.error):
+                yield None
+                self.file.seek(self.behind(start, packed))
+                continue
             if entry is None:
                 return
-            headers, block, skip = entry
+            headers, block, after = entry
             yield headers, block
-            skip()
+            self.file.seek(after())
+
+    def behind(self, start: int, packed: bool) -> int:
+        """Where to go on behind a malformed record."""
+        self.file.seek(start)
+        if packed:
+            size = self.member_size(self.file.read(HEAD))
+            return min(self.end, start + size) if size else self.end
+        self.file.readline()
+        while line := self.file.readline():
+            if line.startswith(b"WARC/"):
+                return self.file.tell() - len(line)
+        return self.end
+
+    @staticmethod
+    def member_size(raw: bytes) -> int | None:
+        """The length of a member as its extra field tells it."""
+        return struct.unpack_from("<I", raw, 16)[0] if len(raw) >= 20 and raw[3] & 4 and raw[12:14] == b"sl" else None
 
     def compressed(self):
         start = self.file.tell()
         raw = self.file.read(HEAD)
-        if not raw:
-            return None
-        size = struct.unpack_from("<I", raw, 16)[0] if raw[3] & 4 and raw[12:14] == b"sl" else None
+        size = self.member_size(raw)
+        if size and start + size > self.end:
+            raise Malformed("a member is cut off")
         inflater = zlib.decompressobj(31)
         text = inflater.decompress(raw[:size] if size else raw, HEAD)
         while b"\r\n\r\n" not in text and not inflater.eof:
@@ -131,9 +164,14 @@ class Records:
                 break
             text += inflater.decompress(more, HEAD)
         self.inflated += len(text)
-        headers = headers_of(text.partition(b"\r\n\r\n")[0])
-        cut = text.index(b"\r\n\r\n") + 4
+        head, found, _ = text.partition(b"\r\n\r\n")
+        headers = headers_of(head)
+        length = number(headers.get("content-length"))
+        if not found or length is None or length < 0:
+            raise Malformed("no head of a record")
+        cut = len(head) + 4
         rest: list[bytes] = []
+        after = [start + size if size else 0]
 
         def inflate() -> bytes:
             if not rest:
@@ -147,21 +185,19 @@ class Records:
                     while not inflater.eof:
                         tail = tail or self.file.read(1 << 16)
                         if not tail:
-                            break
+                            raise Malformed("a member is cut off")
                         parts.append(inflater.decompress(tail))
                         tail = b""
-                    self.file.seek(self.file.tell() - len(inflater.unused_data))
+                    after[0] = self.file.tell() - len(inflater.unused_data)
                 rest.append(b"".join(parts))
                 self.inflated += len(rest[0]) - len(parts[0])
-            return rest[0][: int(headers.get("content-length", len(rest[0])))]
+                if len(rest[0]) < length:
+                    raise Malformed("a block is cut off")
+            return rest[0][:length]
 
-        def skip() -> None:
-            if size:
-                self.file.seek(start + size)
-            else:
-                inflate()
-
-        return headers, inflate, skip
+        if not size:
+            inflate()  # the only way to the next member
+        return headers, inflate, lambda: after[0]
 
     def plain(self):
         line = self.file.readline()
@@ -173,13 +209,15 @@ class Records:
         while (line := self.file.readline()) not in (b"\r\n", b"\n", b""):
             lines.append(line)
         headers = headers_of(b"".join(lines).replace(b"\r\n", b"\n").replace(b"\n", b"\r\n"))
-        start, size = self.file.tell(), int(headers.get("content-length", 0))
+        start, size = self.file.tell(), number(headers.get("content-length"))
+        if not lines[0].startswith(b"WARC/") or not line or size is None or size < 0 or start + size > self.end:
+            raise Malformed("no whole record")
 
         def block() -> bytes:
             self.file.seek(start)
             return self.file.read(size)
 
-        return headers, block, lambda: self.file.seek(start + size)
+        return headers, block, lambda: start + size
 
 
 def payload_of(headers: dict[str, str], block: bytes) -> bytes:
@@ -196,6 +234,9 @@ class Files(InputPartition):
 class WarcReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.schema, self.uri = schema, options["path"]
+        self.malformed = options.get("malformed", "skip")
+        if self.malformed not in ("skip", "mark", "fail"):
+            raise ValueError("malformed: skip, mark or fail")
         self.filters: list[tuple] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -222,6 +263,27 @@ class WarcReader(DataSourceReader):
             held += info.size
         return [Files(p) for p in parts] or [Files([])]
 
+    def row(self, entry: tuple | None, wanted: set[str]) -> dict | None:
+        """The columns of a record; None for one that the filters or the option leave out."""
+        if entry is None:
+            if self.malformed == "fail":
+                raise ValueError("a malformed record")
+            if self.malformed == "skip":
+                return None
+            headers, block = {"warc-type": "malformed"}, None
+        else:
+            headers, block = entry
+        row = fields_of(headers)
+        if not holds(row, self.filters):
+            return None
+        row |= dict.fromkeys(FROM_PAYLOAD)
+        if wanted and block and row["record_type"] != "revisit":
+            payload = payload_of(headers, block())
+            row["payload_bytes"] = len(payload)
+            row["payload_sha256"] = hashlib.sha256(payload).hexdigest() if "payload_sha256" in wanted else None
+            row["payload"] = payload if "payload" in wanted else None
+        return row
+
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(self.uri)
         names = self.schema.fieldNames()
@@ -231,17 +293,14 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path in partition.paths:
             with store.open_input_file(path) as native, io.BufferedReader(native, 1 << 20) as file:
-                for headers, block in Records(file):
-                    row = fields_of(headers)
-                    if not holds(row, self.filters):
+                for entry in Records(file):
+                    try:
+                        row = self.row(entry, wanted)
+                    except (Malformed, zlib.error):
+                        row = self.row(None, wanted)
+                    if row is None:
                         continue
-                    row |= dict.fromkeys(FROM_PAYLOAD)
-                    if wanted and row["record_type"] != "revisit":
-                        payload = payload_of(headers, block())
-                        row["payload_bytes"] = len(payload)
-                        row["payload_sha256"] = hashlib.sha256(payload).hexdigest() if "payload_sha256" in wanted else None
-                        if "payload" in wanted:
-                            row["payload"], held = payload, held + len(payload)
+                    held += len(row["payload"] or b"")
                     rows.append([row[n] for n in names])
                     if len(rows) >= 8192 or held > 1 << 24:
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
@@ -299,7 +358,11 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").schema(...) reads only the columns that the schema names."""
+    """spark.read.format("warc").schema(...) reads only the columns that the schema names.
+
+    Option malformed: skip (the default) passes over records that can't be read, mark gives each as a row
+    of record_type "malformed" with nulls, fail raises ValueError.
+    """
 
     @classmethod
     def name(cls) -> str:
