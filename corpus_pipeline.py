@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clinograph.llm import ngram_join, packing, quality, suffix_dedup
 from clinograph.llm.common import durable, read
 from clinograph.llm.queries import tokenizer
+from clinograph.session import ship
 
 #: Words of the shortest repeated passage that is cut.
 PASSAGE_WORDS = 51
@@ -22,6 +23,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The trees learn from labelled documents of the input that are not held out.  Empty texts are
     scored like any other; without labels everything is kept.
     """
+    ship(spark)
     model = quality.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
     return quality.keep_good(docs, model)
 
@@ -32,6 +34,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Groups are what chains of links join.  Rows that repeat a kept id are kept once; documents
     without words or without an id are in no group and stay.
     """
+    ship(spark)
     groups = ngram_join.link_components(docs.select("doc_id", "text"), n=5, percent=80)
     dropped = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti")
@@ -45,12 +48,14 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     run.  n_chars follows the text.  A text that is cut to nothing stays as an empty row, and a null
     text stays null.
     """
+    ship(spark)
     cut = suffix_dedup.with_repeats_removed(docs, PASSAGE_WORDS, "doc_id", "text", suffix_dedup.WORDS)
     return cut.withColumn("n_chars", F.when(F.col("was_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of tokenised documents in sequences of at most 4096 ids; a null text is its end id alone."""
+    ship(spark)
     return packing.pack(docs.select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
