@@ -15,8 +15,23 @@ from pyspark.sql import functions as F
 KERNEL_BYTES = 1 << 20
 
 
+#: Bytes of a batch that goes to Python at most; Spark's own default is sixteen times that.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Has the session cut batches for Python at BATCH_BYTES, unless it cuts them smaller already.
+
+    Texts differ in length by thousands, so a batch of so many rows may be any size.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit)) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """A table of the data folder, through Spark's own reader, with only the named columns."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
@@ -39,6 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, deleted when the driver ends at the latest."""
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import to_arrow
 
 #: Elements of one part, about; of one that carries its sets along.
-PART_ELEMENTS, CARRIED_ELEMENTS = 1 << 20, 1 << 18
+PART_ELEMENTS, CARRIED_ELEMENTS = 1 << 19, 1 << 18
 #: Elements of one bucket, about.
 BUCKET_ELEMENTS = 1 << 20
 #: Buckets at most; beyond 2^36 elements in all they grow.
@@ -85,7 +85,7 @@ def from_unary(stored: bytes, count: int) -> np.ndarray:
 
 def packed(part: int, buckets: int, **columns: list) -> pa.RecordBatch:
     """A row for each bucket, then one of the part itself."""
-    where = [*range(buckets), part * 7 % buckets]
+    where = [*range(buckets), ((part >> 32) + part) % (1 << 32) % buckets]  # parts' own rows go round
     return to_arrow(PACKED_SCHEMA, part=[part] * len(where), bucket=where, **columns)
 
 

@@ -33,8 +33,8 @@ from .words import BASE, powers, word_hashes, word_spans
 BLOCK_BYTES = 1 << 20
 #: Groups with more different contexts than this are split.
 GROUP_CONTEXTS = 2000
-#: Windows of a context that stay together in each split of a group, down to single ones.
-SPLITS = (64, 8, 1)
+#: Parts of a window's length within which windows begin that stay together in each split of a group, before single ones.
+SPLITS = (6, 48)
 #: Texts chosen by a broadcast of their keys at most; above, the choice shuffles.
 BROADCAST_KEYS = 500_000
 #: Positions that one kernel call takes of a text.
@@ -145,18 +145,31 @@ def suffix_ranks(symbols: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.n
     for j in range(h):
         inside = index + j <= end
         key = key << 9 | np.where(inside, symbols[np.minimum(index + j, n - 1)], 0) if h > 1 else symbols
-    ranks = []
-    while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
-        ranks.append((h, rank.astype(np.int32)))
-        if h > depth or rank[order[-1]] == n - 1:
-            return np.argsort(rank * n + index), ranks
-        inside = index + h <= end
-        key = rank * (n + 1) + np.where(inside, rank[np.minimum(index + h, n - 1)] + 1, 0)
+    order = np.argsort(key)
+    ordered = key[order]
+    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    place = np.flatnonzero(fresh)
+    rank = np.empty(n, np.int64)  # of a suffix the first place of those that agree with it
+    rank[order] = place[np.cumsum(fresh) - 1]
+    ranks = [(h, rank.astype(np.int32))]
+    tied = order[~(fresh & np.append(fresh[1:], True))]
+    while len(tied) and h <= depth:
+        key = rank[tied] * (n + 1) + np.where(tied + h <= end[tied], rank[np.minimum(tied + h, n - 1)] + 1, 0)
+        sort = np.argsort(key)
+        tied, key = tied[sort], key[sort]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        group = key // (n + 1)
+        head = np.concatenate([[True], group[1:] != group[:-1]])
+        start, first = np.flatnonzero(head), np.flatnonzero(fresh)
+        rank[tied] = group + first[np.cumsum(fresh) - 1] - start[np.cumsum(head) - 1]
         h *= 2
+        ranks.append((h, rank.astype(np.int32)))
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
+    if len(tied):  # wholes that agree to their ends: the earlier first
+        return np.argsort(rank * n + index), ranks
+    suffixes = np.empty(n, np.int64)
+    suffixes[rank] = index
+    return suffixes, ranks
 
 
 class RunIndex:
@@ -209,7 +222,9 @@ class RunIndex:
         longest = np.zeros(len(at), np.int64)
         for places, agreed in (self.lower, self.upper):
             if len(places):
-                k = np.searchsorted(places, at, side="right") - 1
+                sampled = np.zeros(len(at), np.int64)
+                sampled[places] = 1
+                k = np.cumsum(sampled) - 1
                 np.maximum(longest, np.where(k >= 0, agreed[k] + places[k] - at, 0), out=longest)
         return longest
 
@@ -284,7 +299,7 @@ def repeated_windows(texts: DataFrame, length: int, units: Units = BYTES, most_c
     shared = contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = durable(contexts.join(shared, "ah").select("ah", "n", "kinds", "one.*"), "repeat-several")
     group = cut_contexts(texts, several, length, units)
-    group, steps = durable(group, "repeat-group"), iter(SPLITS)
+    group, steps = durable(group, "repeat-group"), iter([*(max(1, length // part) for part in SPLITS), 1])
     forget(spark, several)
     while True:
         size = group.agg(F.sum(F.octet_length("units").cast("long")), F.max("kinds")).first()
