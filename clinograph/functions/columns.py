@@ -39,15 +39,21 @@ def complete(aggregate: Column, value: str | Column) -> Column:
     return F.when(F.count(col(value)) == F.count(F.lit(1)), aggregate)
 
 
-# units
-def kelvin_to_celsius(x): return col(x) - 273.15
-def celsius_to_kelvin(x): return col(x) + 273.15
-def flux_to_mm_day(x): return col(x) * 86400.0
-def mm_day_to_flux(x): return col(x) / 86400.0
-def pa_to_hpa(x): return col(x) / 100.0
-def hpa_to_pa(x): return col(x) * 100.0
-def fraction_to_percent(x): return col(x) * 100.0
-def percent_to_fraction(x): return col(x) / 100.0
+# What a value in the first unit is times and plus to be in the second.
+UNITS = {("K", "degC"): (1.0, -273.15), ("kg m-2 s-1", "mm day-1"): (86400.0, 0.0), ("hPa", "Pa"): (100.0, 0.0), ("1", "%"): (100.0, 0.0)}
+
+
+def convert(x: str | Column, unit: str, to: str) -> Column:
+    """A value in another unit; ValueError for units that nothing leads between."""
+    if unit == to:
+        return col(x)
+    if (unit, to) in UNITS:
+        factor, offset = UNITS[unit, to]
+        return col(x) * factor + offset
+    if (to, unit) in UNITS:
+        factor, offset = UNITS[to, unit]
+        return (col(x) - offset) / factor
+    raise ValueError(f"no way from {unit} to {to}")
 
 
 def signed_flux(x: str | Column, positive_up: bool) -> Column:

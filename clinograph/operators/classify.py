@@ -72,6 +72,11 @@ def ice_fraction(df: DataFrame, by: Keys, v: str = "v") -> DataFrame:
     return df.join(top, list(by)).withColumn(v, x).drop("top")
 
 
+def thin_ice(v: str = "v", most: float = 50.0) -> Column:
+    """Thicknesses in metres; what is beyond any ice is a fill value."""
+    return F.when(F.col(v) <= most, F.col(v))
+
+
 def check_range(df: DataFrame, by: Keys, low: float, high: float, v: str = "v") -> DataFrame:
     """Sources whose mean lies in a plausible range."""
     return df.groupBy(*by).agg(F.avg(v).alias("mean")).where(F.col("mean").between(low, high)).select(*by)

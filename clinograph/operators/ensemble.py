@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import variant_numbers
@@ -96,3 +96,29 @@ def benchmark_usage(events: DataFrame) -> DataFrame:
 
 def rank_members(df: DataFrame, by: Keys, score: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), "source")))
+
+
+def verdicts(steps: DataFrame, by: Keys, first: int, last: int, least: int, t: str = "t") -> DataFrame:
+    """Whether each member is used, and if not why: too few steps, a late start or an early end."""
+    spans = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.year(t)).alias("from"), F.max(F.year(t)).alias("to"))
+    reason = F.when(F.col("n") < least, "too few steps").when(F.col("from") > first, "starts late").when(F.col("to") < last, "ends early").otherwise("used")
+    return spans.select(*by, reason.alias("verdict"))
+
+
+def same_members(scenario: DataFrame, historical: DataFrame, on: Keys) -> DataFrame:
+    """The scenario's rows of members whose historical run is there."""
+    return scenario.join(historical.select(*on).distinct(), list(on), "left_semi")
+
+
+def mean_in_driver_window(runs: DataFrame, windows: DataFrame, by: Keys, driver: str = "driver", year: str = "year", v: str = "v") -> DataFrame:
+    """Regional runs averaged over the window in which their driving model reaches a warming level.
+
+    windows: driver, start, end; runs whose driver has none are left out.
+    """
+    return runs.join(windows, driver).where(F.col(year).between(F.col("start"), F.col("end"))).groupBy(*by).agg(F.avg(v).alias(v))
+
+
+def within_budget(entries: DataFrame, by: Keys, order: Sequence[Column], size: str, budget: int) -> DataFrame:
+    """The first entries of each group, in order, whose sizes together stay within a budget."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return entries.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)

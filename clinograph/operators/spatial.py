@@ -79,6 +79,12 @@ def nearest_level(df: DataFrame, target: float, by: Keys, v: str = "v") -> DataF
     return df.groupBy(*by).agg(F.min_by(v, F.struct(F.abs(F.col("level") - target), F.col("level"))).alias(v))
 
 
+def equatorial_index(df: DataFrame, level: float, lat_most: float, by: Keys, weight: str = "area", v: str = "v") -> DataFrame:
+    """Weighted mean round the equator on the level nearest the wanted one, as for the quasi-biennial oscillation."""
+    around = df.where(F.abs(F.col("lat")) <= lat_most).groupBy(*by, "level").agg(wavg(v, weight).alias(v))
+    return nearest_level(around, level, by, v).withColumnRenamed(v, "index")
+
+
 def bias_statistics(df: DataFrame, by: Keys, weight: str = "area", b: str = "bias") -> DataFrame:
     """Weighted mean bias and root-mean-square error."""
     return df.groupBy(*by).agg(wavg(b, weight).alias("mean_bias"), F.sqrt(wavg(F.col(b) * F.col(b), weight)).alias("rmse"))

@@ -190,3 +190,12 @@ def centre_days(df: DataFrame, t: str = "ts") -> DataFrame:
     """Stamps at midnight (or one second before) moved to the noon of the day they end."""
     end = F.date_format(t, "HH:mm:ss")
     return df.withColumn(t, F.when(end == "00:00:00", F.col(t) - F.expr("INTERVAL 12 HOURS")).when(end == "23:59:59", F.date_trunc("DAY", t) + F.expr("INTERVAL 12 HOURS")).otherwise(F.col(t)))
+
+
+def observed_climatology(field: DataFrame, obs: DataFrame, keys: Keys, first: int, last: int, t: str = "t", v: str = "v") -> DataFrame:
+    """Mean over the years of the analysis that observations reach over: a model is held against what was seen.
+
+    Without observations in the analysis there are no rows.
+    """
+    years = obs.where(F.col(v).isNotNull()).agg(F.greatest(F.min(F.year(t)), F.lit(first)).alias("from"), F.least(F.max(F.year(t)), F.lit(last)).alias("to"))
+    return field.join(F.broadcast(years)).where(F.year(t).between(F.col("from"), F.col("to"))).groupBy(*keys).agg(F.avg(v).alias(v))  # one row

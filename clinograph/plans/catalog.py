@@ -34,4 +34,4 @@ def long(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-from . import daily_queries, field_queries, member_queries, table_queries  # noqa: E402, F401  they register themselves
+from . import daily_queries, field_queries, member_queries, source_queries, table_queries  # noqa: E402, F401  they register themselves

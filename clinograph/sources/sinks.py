@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,28 @@ def write_field(df: DataFrame, path: str, by: tuple[str, ...] = ("variable", "so
     df.repartition(*(F.col(c) for c in [*keys, "cell"])).sortWithinPartitions(*keys, "cell").write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
+def write_attributes(spark: SparkSession, path: str, attributes: dict) -> None:
+    """What a written field comes from, as a small table beside it: name and value, as text."""
+    rows = [(str(k), v if isinstance(v, str) else json.dumps(v, sort_keys=True, default=str)) for k, v in sorted(attributes.items())]
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}-attributes")
+
+
+def export_nested(results: dict, path: str) -> list[str]:
+    """Writes every DataFrame of nested results under the path that its keys make; gives the paths.
+
+    Leaves that are no DataFrames are passed over; characters that a path can't hold become underscores.
+    """
+    done = []
+    for key, value in results.items():
+        place = f"{path.rstrip('/')}/" + re.sub(r"[^0-9A-Za-z_.=-]+", "_", str(key))
+        if isinstance(value, dict):
+            done += export_nested(value, place)
+        elif isinstance(value, DataFrame):
+            value.write.mode("overwrite").parquet(place)
+            done.append(place)
+    return done
+
+
 def write_biases(df: DataFrame, path: str) -> None:
     """Bias maps of all periods, members and means as one table."""
     df.write.mode("overwrite").partitionBy("variable", "period").parquet(path)
