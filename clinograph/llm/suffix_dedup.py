@@ -460,8 +460,12 @@ def with_repeats_removed(docs: DataFrame, length: int = 400, id_col: str = "doc_
     """docs with the repeated units cut out of the text, and as the last column whether it was cut.
 
     What is left is decoded again; bytes of a character that was cut through are dropped.  Null
-    texts and texts that lose nothing stay as they are.  Columns may have any names.
+    texts and texts that lose nothing stay as they are.  Columns may have any names; the last one is
+    called was_cut, with underscores behind it where that is taken.
     """
+    flag = "was_cut"
+    while flag in docs.columns:
+        flag += "_"
     place = docs.columns.index(text_col)
     named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     rows = keyed(named, named.columns, f"c{place}")
@@ -475,4 +479,4 @@ def with_repeats_removed(docs: DataFrame, length: int = 400, id_col: str = "doc_
     kinds = ", ".join(f"`{c}` {kind}" for c, kind in cut.dtypes)
     changed = cut.where("kept IS NOT NULL").mapInArrow(decode, kinds)
     done = cut.where("kept IS NULL").unionByName(changed)
-    return done.withColumn("kept", F.col("kept").isNotNull()).toDF(*docs.columns, "was_cut")
+    return done.withColumn("kept", F.col("kept").isNotNull()).toDF(*docs.columns, flag)

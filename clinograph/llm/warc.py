@@ -139,10 +139,11 @@ class Records:
         if packed:
             size = self.member_size(self.file.read(HEAD))
             return min(self.end, start + size) if size else self.end
-        self.file.readline()
+        begun = False
         while line := self.file.readline():
-            if line.startswith(b"WARC/"):
+            if begun and line.startswith(b"WARC/"):
                 return self.file.tell() - len(line)
+            begun = begun or line not in (b"\r\n", b"\n")
         return self.end
 
     @staticmethod
@@ -210,7 +211,7 @@ class Records:
             lines.append(line)
         headers = headers_of(b"".join(lines).replace(b"\r\n", b"\n").replace(b"\n", b"\r\n"))
         start, size = self.file.tell(), number(headers.get("content-length"))
-        if not lines[0].startswith(b"WARC/") or not line or size is None or size < 0 or start + size > self.end:
+        if [x.startswith(b"WARC/") for x in lines] != [True] + [False] * (len(lines) - 1) or not line or size is None or size < 0 or start + size > self.end:
             raise Malformed("no whole record")
 
         def block() -> bytes:

@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline as pipeline
 from clinograph.llm.common import durable
 
+from .conftest import OWN
 from .conftest import SCHEMA as WIDE
 from .test_documents import brute_components
 
@@ -82,10 +83,12 @@ def test_run(spark, tmp_path):
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() >= 180
 
 
-@pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES[1:]])
-def test_stages_take_edge_rows_and_nothing(spark, docs, empty, stage):
+@pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES])
+def test_stages_take_edge_rows_and_nothing(spark, tmp_path, docs, empty, rows, stage):
+    spark.createDataFrame([(r[0], int(r[1] is not None and len(r[1]) < 900), 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for frame in (docs, empty):
-        out = stage(spark, frame, "")
+        out = stage(spark, frame, str(tmp_path))
         assert out.count() <= 3 * max(1, frame.count())
         if stage is not pipeline.pack_sequences:
             assert out.columns == [f.split()[0] for f in WIDE.split(", ")]
+            assert {tuple(r[8:]) for r in out.collect()} <= {OWN, (None,) * len(OWN)}

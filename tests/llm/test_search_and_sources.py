@@ -111,6 +111,27 @@ def test_members_without_lengths_and_plain_records():
         assert got == [(str(i), rows[i]["payload"] if i % 2 else None) for i in range(4)]
 
 
+def test_malformed_records(spark, tmp_path):
+    good = [warc.record(row(i, b"payload %d " % i * 50)) for i in range(6)]
+    no_figure = good[1].replace(b"Content-Length: ", b"Content-Length: x")
+    plain = good[0] + no_figure + good[2] + good[3][:200] + b"\n" + good[4] + good[5][:-60]
+    sized = [warc.member(r) for r in good]
+    members = sized[0] + warc.member(no_figure) + sized[2] + warc.member(good[3][:100]) + sized[4] + sized[5][:-30]
+    for k, data in enumerate((plain, members, gzip.compress(good[0]) + gzip.compress(good[1])[:-40], b"", b"no record at all\n")):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        (folder / f"a.warc{'.gz' if k in (1, 2) else ''}").write_bytes(data)
+        warc.register(spark)
+        read = lambda how: spark.read.format("warc").option("malformed", how).schema("page_id long, record_type string, payload binary").load(str(folder))  # noqa: B023, E731
+        whole = {0: [0, 2, 4], 1: [0, 2, 4], 2: [0], 3: [], 4: []}[k]
+        assert sorted((r.page_id, bytes(r.payload)) for r in read("skip").collect()) == [(i, b"payload %d " % i * 50) for i in whole]
+        marked = [r.record_type for r in read("mark").collect()]
+        assert marked.count("malformed") == {0: 3, 1: 3, 2: 1, 3: 0, 4: 1}[k] and marked.count("response") == len(whole)
+        if k != 3:
+            with pytest.raises(Exception, match="malformed"):
+                read("fail").collect()
+
+
 def test_large_components_are_scored_as_they_are_or_refused(spark):
     rng = random.Random(23)
     vectors = {i: [rng.choice([-1, 1]) * 2.0 ** rng.randrange(20, 25) + rng.randrange(64) / 64, rng.uniform(-9, 9)] for i in range(1, 200)}
