@@ -50,7 +50,7 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     ship(spark)
     cut = suffix_dedup.with_repeats_removed(docs, PASSAGE_WORDS, "doc_id", "text", suffix_dedup.WORDS)
-    return cut.withColumn("n_chars", F.when(F.col("was_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return cut.withColumn("n_chars", F.when(F.col(cut.columns[-1]), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
