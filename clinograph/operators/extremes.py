@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +69,42 @@ def median_unbiased(values: Column, p: float) -> Column:
     return F.when(n > 0, F.element_at(x, low) + (at - low) * (F.element_at(x, high) - F.element_at(x, low)))
 
 
+def window_quantiles(day: np.ndarray, v: np.ndarray, n_days: int, half: int, points: Sequence[float]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(day, quantiles) of the values within `half` days of each calendar day, by median_unbiased()'s rule; NaN is missing."""
+    order = np.argsort(day, kind="stable")
+    d, x = day[order] - 1, v[order]
+    count = np.bincount(d, minlength=n_days)
+    table = np.full((n_days, count.max()), np.nan)
+    table[d, np.arange(len(d)) - (np.cumsum(count) - count)[d]] = x
+    around = lambda a: [np.roll(a, k, axis=0) for k in range(-half, half + 1)]
+    present = sum(around(count)) > 0
+    values = np.sort(np.concatenate(around(table), axis=1)[present], axis=1)  # missing ones come last
+    n = (~np.isnan(values)).sum(1)
+    rows, out = np.arange(len(n)), []
+    for p in points:
+        at = np.maximum(1.0, np.minimum(n, p * (n + 1 / 3) + 1 / 3))
+        low = np.floor(at).astype(int)
+        below, above = values[rows, low - 1], values[rows, np.maximum(1, np.minimum(low + 1, n)) - 1]
+        out.append(np.where(n > 0, below + (at - low) * (above - below), np.nan))
+    return np.flatnonzero(present) + 1, out
+
+
 def calendar_day_percentiles(df: DataFrame, keys: Keys, points: dict[str, float], day: str = "doy", n_days: int = 365, window: int = 5, v: str = "v") -> DataFrame:
     """Percentiles of each calendar day over a window that goes round the year's end.
 
-    Each value goes to the days whose window holds it (`window` rows a day), so a group is a cell's
-    window over all years: years x window values.
+    A key's values go through one exchange and are one group, decades of days at most; its windows are
+    made in arrays, not as rows.  A day whose window holds only missing values gives NULL.
     """
-    half = window // 2
-    around = df.withColumn("k", F.explode(F.sequence(F.lit(-half), F.lit(half)))).withColumn(day, (F.pmod(F.col(day) - 1 + F.col("k"), F.lit(n_days)) + 1).cast("int"))
-    lists = around.groupBy(*keys, day).agg(F.collect_list(v).alias("x"))
-    return lists.select(*keys, day, *(median_unbiased(F.col("x"), p).alias(name) for name, p in points.items()))
+    keys = list(keys)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+
+    def of_key(table: pa.Table) -> pa.Table:
+        days, found = window_quantiles(table.column("day").to_numpy(), table.column("v").to_numpy(), n_days, window // 2, list(points.values()))
+        own = {c: pa.chunked_array([table.column(c).chunk(0).slice(0, 1)]).take(pa.array(np.zeros(len(days), np.int64))) for c in keys}
+        return pa.table(own | {day: days.astype(np.int32)} | {name: pa.array(x, from_pandas=True) for name, x in zip(points, found)})
+
+    rows = df.select(*keys, F.col(day).cast("long").alias("day"), F.col(v).cast("double").alias("v"))
+    return rows.groupBy(*keys).applyInArrow(of_key, f"{kinds}, `{day}` int, " + ", ".join(f"`{name}` double" for name in points))
 
 
 def wet_percentiles(df: DataFrame, by: Keys, wet: float = 1.0, v: str = "v") -> DataFrame:

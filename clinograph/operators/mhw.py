@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import by_offset
 from .extremes import join_gaps, runs
 
 Keys = Sequence[str]
@@ -15,20 +17,52 @@ Keys = Sequence[str]
 LEAP_SLOT = 59
 
 
+def slots_of_record(t: np.ndarray, slot: np.ndarray, year: np.ndarray, v: np.ndarray, base: tuple[int, int], half: int, q: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, mean, q-quantile) over every value at most `half` steps from a base day of the slot; NaN is missing."""
+    order = np.argsort(t)
+    t, slot, year, v = t[order], slot[order], year[order], v[order]
+    inside = (year >= base[0]) & (year <= base[1])
+    centres = np.flatnonzero(inside & (slot != LEAP_SLOT))
+    if not len(centres) or (~np.isnan(v[inside])).sum() < least * inside.sum():
+        return np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+    centres = centres[np.argsort(slot[centres], kind="stable")]
+    wanted = t[centres][:, None] + np.arange(-half, half + 1)
+    at = np.minimum(np.searchsorted(t, wanted), len(t) - 1)
+    near = np.where(t[at] == wanted, v[at], np.nan)
+    slots, first, count = np.unique(slot[centres], return_index=True, return_counts=True)
+    table = np.full((len(slots), count.max(), 2 * half + 1), np.nan)
+    row = np.repeat(np.arange(len(slots)), count)
+    table[row, np.arange(len(centres)) - first[row]] = near
+    values = np.sort(table.reshape(len(slots), -1), axis=1)  # missing ones come last
+    there = (~np.isnan(values)).sum(1)
+    slots, values, there = slots[there > 0], values[there > 0], there[there > 0]
+    place = (there - 1) * q
+    low = np.floor(place).astype(int)
+    below, above = (values[np.arange(len(slots)), np.minimum(k, there - 1)] for k in (low, low + 1))
+    mean, quantile = np.nansum(values, axis=1) / there, below + (place - low) * (above - below)
+    beside = np.isin(slots, (LEAP_SLOT - 1, LEAP_SLOT + 1))
+    if beside.sum() == 2:
+        slots, mean, quantile = np.append(slots, LEAP_SLOT), np.append(mean, mean[beside].mean()), np.append(quantile, quantile[beside].mean())
+    return slots.astype(np.int32), mean, quantile
+
+
 def slot_climatology(days: DataFrame, keys: Keys, base: tuple[int, int], half: int = 5, q: float = 0.9, least: float = 0.5) -> DataFrame:
     """seas and thresh by slot, from every day at most `half` days of the whole record from a base day.
 
     days: keys, t_idx, slot, year, v on a complete axis.  29 February takes the mean of its
-    neighbours.  A key needs `least` of its base days.  Only base days are centres; each day is
-    sent to the centres near it, so a group is a slot's window over the base years.
+    neighbours.  A key needs `least` of its base days.  A key's days go through one exchange and are
+    one group, decades of days at most; its windows are made in arrays, not as rows.
     """
-    centres = days.where(F.col("year").between(*base) & (F.col("slot") != LEAP_SLOT)).select(*keys, F.col("t_idx").alias("centre"), F.col("slot").alias("at"))
-    near = by_offset(days.select(*keys, "t_idx", "v").where("v IS NOT NULL"), half).drop("t_idx")
-    by_slot = near.join(centres, [*keys, "centre"]).groupBy(*keys, F.col("at").alias("slot")).agg(F.avg("v").alias("seas"), F.percentile("v", q).alias("thresh"))
-    beside = by_slot.where(F.col("slot").isin(LEAP_SLOT - 1, LEAP_SLOT + 1)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("seas").alias("seas"), F.avg("thresh").alias("thresh"))
-    leap = beside.where("n = 2").select(*keys, F.lit(LEAP_SLOT).alias("slot"), "seas", "thresh")
-    good = days.where(F.col("year").between(*base)).groupBy(*keys).agg(F.count("v").alias("there"), F.count(F.lit(1)).alias("all")).where(F.col("there") >= least * F.col("all")).select(*keys)
-    return by_slot.unionByName(leap).join(good, list(keys), "left_semi")
+    keys = list(keys)
+    kinds = ", ".join(f"`{c}` {days.schema[c].dataType.simpleString()}" for c in keys)
+
+    def of_key(table: pa.Table) -> pa.Table:
+        t, slot, year, v = (pc.cast(table.column(c), kind).to_numpy() for c, kind in (("t_idx", pa.int64()), ("slot", pa.int64()), ("year", pa.int64()), ("v", pa.float64())))
+        slots, seas, thresh = slots_of_record(t, slot, year, v, base, half, q, least)
+        own = {c: pa.chunked_array([table.column(c).chunk(0).slice(0, 1)]).take(pa.array(np.zeros(len(slots), np.int64))) for c in keys}
+        return pa.table(own | {"slot": slots, "seas": seas, "thresh": thresh})
+
+    return days.select(*keys, "t_idx", "slot", "year", F.col("v").cast("double").alias("v")).groupBy(*keys).applyInArrow(of_key, f"{kinds}, slot int, seas double, thresh double")
 
 
 def smooth_slots(clim: DataFrame, keys: Keys, columns: Sequence[str] = ("seas", "thresh"), width: int = 31, slots: int = 366) -> DataFrame:

@@ -134,6 +134,7 @@ def merge_points(points: DataFrame, tolerance: float = 1e-6) -> DataFrame:
         after = after.join(hop, "group").select("cell", F.col("g3").alias("group"))
         after = after.persist()
         settled = after.join(groups.withColumnRenamed("group", "old"), "cell").where(F.col("group") < F.col("old")).isEmpty()
+        groups.unpersist()
         groups = after
         if settled:
             return groups

@@ -160,6 +160,14 @@ def w11_mhw_climatology(spark, sf_dir):
     return rounded(mhw.slot_climatology(slotted(days(spark, sf_dir)), ["cell"], (1995, 2000)), seas=4, thresh=4)
 
 
+@query(D + SEAS + " SELECT cell, CAST(slot AS INTEGER) AS slot, round(seas, 4) AS seas FROM cl0")
+def j19_slot_window(spark, sf_dir):
+    record = slotted(days(spark, sf_dir))
+    centres = record.where(F.col("year").between(1995, 2000) & (F.col("slot") != mhw.LEAP_SLOT)).select("cell", F.col("t_idx").alias("centre"), "slot")
+    near = align.by_offset(record.select("cell", "t_idx", "v").where("v IS NOT NULL"), 5)
+    return rounded(near.join(centres, ["cell", "centre"]).groupBy("cell", "slot").agg(F.avg("v").alias("seas")), seas=4)
+
+
 @query(D + SEAS + " SELECT cell, CAST(slot AS INTEGER) AS slot, round(seas, 4) AS seas, round(thresh, 4) AS thresh FROM sm")
 def w10_slot_smooth(spark, sf_dir):
     clim = mhw.slot_climatology(slotted(days(spark, sf_dir)), ["cell"], (1995, 2000))
