@@ -6,6 +6,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .plans import diagnostics
+from .session import ship
 from .sources.readers import read_config
 
 
@@ -21,6 +22,7 @@ def main(args: list[str] | None = None) -> None:
         return
     config = read_config(asked.config)
     spark = SparkSession.builder.getOrCreate()
+    ship(spark)
     fields = {name: spark.read.parquet(path) for name, path in config["fields"].items()}
     values = {k: tuple(v) if isinstance(v, list) else v for k, v in config.get("settings", {}).items()}
     for name in asked.diagnostics or config.get("diagnostics") or list(diagnostics.REGISTRY):
