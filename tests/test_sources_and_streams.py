@@ -113,3 +113,40 @@ def test_open_runs_go_on_over_batches(spark, tmp_path):
     df = stream(spark, str(tmp_path), [[(1, i, v[i])] for i in range(8)], schema)
     got = drain(spark, spells.open_runs(df, 5.0, 3), "runs_out")
     assert [(r.start, r.end, r.length) for r in got] == [(0, 3, 4)]
+
+
+def test_units_both_ways(spark):
+    from clinograph.functions.columns import UNITS, convert
+
+    df = spark.createDataFrame([(3.5,)], "x double")
+    for unit, to in UNITS:
+        there = df.select(convert("x", unit, to).alias("x"))
+        assert there.select(convert("x", to, unit)).first()[0] == pytest.approx(3.5)
+    assert df.select(convert("x", "K", "K")).first()[0] == 3.5
+    with pytest.raises(ValueError):
+        convert("x", "K", "Pa")
+
+
+def test_nested_results_and_attributes(spark, tmp_path):
+    one, two = field(spark, [(1, dt.date(2000, 1, 1), 1.0)]), field(spark, [(2, dt.date(2000, 1, 1), 2.0)])
+    paths = sinks.export_nested({"bias": {"DJF mean": one, "note": "text"}, "trend": two}, str(tmp_path / "out"))
+    assert [spark.read.parquet(p).first().cell for p in paths] == [1, 2] and paths[0].endswith("/bias/DJF_mean")
+    sinks.write_attributes(spark, str(tmp_path / "tas"), {"source": "model", "years": [1995, 2001]})
+    assert {r.name: r.value for r in spark.read.json(str(tmp_path / "tas-attributes")).collect()} == {"source": "model", "years": "[1995, 2001]"}
+
+
+def test_windows_of_a_record_without_gaps_are_not_assumed():
+    import numpy as np
+
+    from clinograph.operators.mhw import slots_of_record
+
+    rng = np.random.default_rng(2)
+    t = np.sort(rng.choice(2200, 1500, replace=False))
+    slot, year, v = t % 366, 2000 + t // 366, np.where(rng.random(1500) < 0.2, np.nan, rng.normal(size=1500))
+    slots, mean, quantile = slots_of_record(t, slot, year, v, (2001, 2004), 5, 0.9, 0.5)
+    for s, m, q in zip(slots, mean, quantile):
+        if s == 59:
+            continue
+        near = [x for c in t[(slot == s) & (year >= 2001) & (year <= 2004)] for x in v[np.abs(t - c) <= 5] if not np.isnan(x)]
+        assert m == pytest.approx(np.mean(near)) and q == pytest.approx(np.quantile(near, 0.9))
+    assert 59 in slots and len(slots_of_record(t, slot, year, v * np.nan, (2001, 2004), 5, 0.9, 0.5)[0]) == 0
