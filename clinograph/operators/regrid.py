@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import great_circle
+from ..session import cut_lineage
 
 Keys = Sequence[str]
 
@@ -114,30 +115,31 @@ def coarsen(df: DataFrame, by: Keys, factor: int, n_y: int, n_x: int, v: str = "
 def merge_points(points: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """cell, group: cells whose places coincide within a tolerance (radians) on the unit sphere.
 
-    Places fall in cubes; each is compared with those in touching cubes, and groups are the chains'
-    components, by the smallest cell.
+    Cells whose places agree to twelve digits, such as a pole's, are one place.  Places fall in cubes; each is
+    compared with those in touching cubes, and groups are the chains' components, by the smallest cell.
     """
     lat, lon = F.radians("lat"), F.radians("lon")
-    xyz = points.select("cell", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+    places = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    cells = points.select("cell", *(F.round(v, 12).alias(c) for c, v in places.items()))
+    xyz = cells.groupBy("x", "y", "z").agg(F.min("cell").alias("cell"))
     cube = lambda c: F.floor(F.col(c) / tolerance)
     near = xyz.select(F.col("cell").alias("cell2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
+    firsts = cells.join(xyz.withColumnRenamed("cell", "first"), ["x", "y", "z"]).select("cell", "first")
+    groups = xyz.select("cell", F.col("cell").alias("group"))
     for c in "xyz":
         xyz = xyz.withColumn(f"k{c}", cube(c))
         near = near.withColumn(f"k{c}", F.explode(F.sequence(F.floor(F.col(f"{c}2") / tolerance) - 1, F.floor(F.col(f"{c}2") / tolerance) + 1)))
     apart = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2) + F.pow(F.col("z") - F.col("z2"), 2))
-    links = xyz.join(near, ["kx", "ky", "kz"]).where((apart <= tolerance) & (F.col("cell2") < F.col("cell"))).select("cell", "cell2")
-    groups = points.select("cell", F.col("cell").alias("group"))
-    while True:  # chains of coincident points are as long as a pole has meridians; each round doubles the reach
-        step = links.join(groups.select(F.col("cell").alias("cell2"), F.col("group").alias("g2")), "cell2").groupBy("cell").agg(F.min("g2").alias("g2"))
-        after = groups.join(step, "cell", "left").select("cell", F.least("group", F.coalesce("g2", "group")).alias("group"))
-        hop = after.select(F.col("cell").alias("group"), F.col("group").alias("g3"))
-        after = after.join(hop, "group").select("cell", F.col("g3").alias("group"))
-        after = after.persist()
-        settled = after.join(groups.withColumnRenamed("group", "old"), "cell").where(F.col("group") < F.col("old")).isEmpty()
-        groups.unpersist()
-        groups = after
-        if settled:
-            return groups
+    links = xyz.join(near, ["kx", "ky", "kz"]).where((apart <= tolerance) & (F.col("cell2") != F.col("cell"))).select("cell", "cell2")
+    links = cut_lineage(links)
+    while True:  # a round takes the smallest group at hand, then that group's own: the reach doubles
+        known = groups.select(F.col("cell").alias("cell2"), F.col("group").alias("g2"))
+        step = links.join(known, "cell2").groupBy("cell").agg(F.min("g2").alias("g2"))
+        after = groups.select("cell", F.col("group").alias("old")).join(step, "cell", "left").select("cell", "old", F.least("old", F.coalesce("g2", "old")).alias("near"))
+        hop = after.select(F.col("cell").alias("near"), F.col("near").alias("group"))
+        groups = cut_lineage(after.join(hop, "near").select("cell", "group", (F.col("group") < F.col("old")).alias("moved")))
+        if groups.where("moved").isEmpty():
+            return firsts.join(groups.select(F.col("cell").alias("first"), "group"), "first").select("cell", "group")
 
 
 def group_values(field: DataFrame, groups: DataFrame, by: Keys, v: str = "v") -> DataFrame:

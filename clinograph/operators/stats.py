@@ -1,7 +1,7 @@
 """Tests, spectra, decomposition and high-pass statistics."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -131,16 +131,45 @@ def spectrum(df: DataFrame, key: str, order: str = "t", v: str = "v") -> DataFra
     return df.select(key, order, v).groupBy(key).applyInPandas(run, f"{key} {kind}, period double, power double")
 
 
+#: Steps of the longest record that is decomposed: the steps x steps matrix must fit a task and the driver.
+MOST_STEPS = 4_000
+
+
 def gram(df: DataFrame, cell: str = "cell", t: str = "t", x: str = "x", weight: str | None = None) -> DataFrame:
-    """Sum over cells of w^2 x_i x_j for each pair of steps: the steps are few, the cells many.
+    """Sum over cells of w^2 x_i x_j for each pair of steps that some cell has both of: few steps, many cells.
 
-    Each cell's steps become one array, so pairs are made inside a row and summed before the shuffle.
+    Each cell's steps become one array; a task multiplies its cells as a matrix, and only its steps x steps
+    sums are shuffled.  Null values take no part.  More than MOST_STEPS steps raise ValueError: take means first.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
-    rows = df.groupBy(cell).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), (w * F.col(x)).alias("x")))).alias("s"))
-    left = rows.select("s", F.explode("s").alias("a"))
-    pairs = left.select(F.col("a").alias("a"), F.explode("s").alias("b")).where(F.col("a.t") <= F.col("b.t"))
-    return pairs.groupBy(F.col("a.t").alias("i"), F.col("b.t").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"))
+    axis = [r[0] for r in df.where(F.col(t).isNotNull()).select(t).distinct().orderBy(t).limit(MOST_STEPS + 1).collect()]
+    if len(axis) > MOST_STEPS:
+        raise ValueError(f"more than {MOST_STEPS} steps")
+    kind = df.schema[t].dataType.simpleString()
+    spark, size = df.sparkSession, len(axis)
+    steps = spark.createDataFrame(list(enumerate(axis)), f"place int, {t} {kind}")
+    value = F.col(x).cast("double") * (F.col(weight).cast("double") if weight else F.lit(1.0))
+    rows = df.select(cell, t, value.alias("x")).where("x IS NOT NULL").join(F.broadcast(steps), t)  # MOST_STEPS rows at most
+    rows = rows.groupBy(cell).agg(F.collect_list("place").alias("places"), F.collect_list("x").alias("xs"))
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, both = np.zeros((size, size)), np.zeros((size, size), bool)
+        for frame in frames:
+            for first in range(0, len(frame), 256):
+                part = frame.iloc[first : first + 256]
+                values, there = np.zeros((len(part), size)), np.zeros((len(part), size), np.float32)
+                for row, (places, xs) in enumerate(zip(part["places"], part["xs"])):
+                    np.add.at(values[row], places, xs)
+                    there[row, places] = 1
+                total += values.T @ values
+                both |= there.T @ there > 0
+        for i in range(size):
+            j = np.flatnonzero(both[i, i:]) + i
+            if len(j):
+                yield pd.DataFrame({"i": np.int32(i), "j": j.astype(np.int32), "g": total[i, j]})
+
+    sums = rows.select("places", "xs").mapInPandas(products, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    named = lambda c: F.broadcast(steps.select(F.col("place").alias(c), F.col(t).alias(f"{c}_step")))
+    return sums.join(named("i"), "i").join(named("j"), "j").select(F.col("i_step").alias("i"), F.col("j_step").alias("j"), "g")
 
 
 def eof(df: DataFrame, modes: int = 3, cell: str = "cell", t: str = "t", v: str = "v", lat: str | None = "lat") -> tuple[DataFrame, DataFrame]:

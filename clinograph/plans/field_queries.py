@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import change, in_box, season
 from ..operators import align, classify, ensemble, regrid, spatial, stats, temporal
 from .catalog import long, query, rounded
-from .panels import GRID, MONTHLY, grid, monthly
+from .panels import GRID, MONTHLY, T_TAILS, grid, monthly
 
 M = "WITH " + MONTHLY
 MG = M + ", " + GRID
@@ -84,7 +84,7 @@ def w06_trend_tstat(spark, sf_dir):
     return rounded(temporal.trend_test(temporal.annual_mean(monthly(spark, sf_dir), ["cell"]), ["cell"]), slope=4, se=4, t=4)
 
 
-@query()
+@query(YEARS + ", s AS (SELECT cell, count(*) AS n, regr_slope(v, x) AS b, regr_sxx(v, x) AS sxx, regr_syy(v, x) AS syy, regr_sxy(v, x) AS sxy FROM y GROUP BY 1), q AS (SELECT cell, b, sqrt((syy - sxy * sxy / sxx) / ((n - 2) * sxx)) AS se, n - 2 AS df FROM s) SELECT cell, round(b, 4) AS slope, round(se, 4) AS se, round(b / se, 4) AS t, CAST(df AS BIGINT) AS df, round(" + T_TAILS.format(t="b / se") + ", 6) AS p FROM q")
 def w06_trend_pvalue(spark, sf_dir):
     tested = temporal.trend_test(temporal.annual_mean(monthly(spark, sf_dir), ["cell"]), ["cell"])
     return rounded(tested.withColumn("p", stats.t_p("t", F.col("df").cast("double"))), slope=4, se=4, t=4, p=6)

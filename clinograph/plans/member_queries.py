@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import added_value, relative_bias
 from ..operators import align, ensemble, spatial, stats, temporal
 from .catalog import long, query, rounded
-from .panels import CLIM, GRID, MEMBERS, MONTHLY, grid, members, monthly, source_clim
+from .panels import CLIM, GRID, MEMBERS, MONTHLY, T_TAILS, grid, members, monthly, source_clim
 
 C = "WITH " + CLIM
 SRC = C + ", src AS (SELECT source, cell, avg(v) AS v FROM members GROUP BY 1, 2)"
@@ -168,7 +168,7 @@ def t03_variance_ratio(spark, sf_dir):
     return rounded(stats.variance_ratio(biases(spark, sf_dir), ["source"], "v", "ref"), f=6, df=6)
 
 
-@query()
+@query(PAIRS + ", s AS (SELECT source, sum(area) AS sw, sum(area * area) / (sum(area) * sum(area)) AS v2, sum(area * bias) / sum(area) AS m FROM p GROUP BY 1), q AS (SELECT source, sum(area / sw * (bias - m) * (bias - m)) AS ss FROM p JOIN s USING (source) GROUP BY 1), x AS (SELECT source, m, m / sqrt(ss / (1 - v2) * v2) AS t, 1 / v2 - 1 AS df FROM s JOIN q USING (source)) SELECT source, round(m, 4) AS mean_diff, round(t, 6) AS t, round(df, 6) AS df, round(" + T_TAILS.format(t="t") + ", 6) AS p FROM x")
 def t01_ttest_pvalue(spark, sf_dir):
     out = stats.paired_t(biases(spark, sf_dir), ["source"], "v", "ref")
     return rounded(out.withColumn("p", stats.t_p("t", "df")), mean_diff=4, t=6, df=6, p=6)

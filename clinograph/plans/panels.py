@@ -79,3 +79,7 @@ def DENSE(by: str = "n_regionkey") -> str:
 
 def DAYS(by: str = "n_regionkey") -> str:
     return DENSE(by) + ", span AS (SELECT min(d) AS a, max(d) AS z FROM dense), axis AS (SELECT cell, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d, a FROM (SELECT DISTINCT cell FROM dense), span), days AS (SELECT axis.cell, axis.d, CAST(date_diff('day', a, axis.d) AS INTEGER) AS t_idx, v FROM axis LEFT JOIN dense USING (cell, d))"
+
+
+#: Both tails of Student's t by Simpson's rule: with t = sqrt(df) tan(a) the density is a power of the cosine.
+T_TAILS = "1 - atan(abs({t}) / sqrt(df)) * list_sum([(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(atan(abs({t}) / sqrt(df)) * k / 2000), df - 1) FOR k IN range(2001)]) / (pi() / 2 * list_sum([(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(pi() / 2 * k / 2000), df - 1) FOR k IN range(2001)]))"

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -29,6 +29,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the session's spark.checkpoint.dir, which executors share.
+
+    Only a local session without that setting gets a folder of its own under /tmp.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            path = "/tmp/clinograph-shared"
+        context.setCheckpointDir(path)
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the package to the session's Python workers, once, unless PYTHONPATH does so already."""
     root = Path(__file__).resolve().parent.parent

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,24 +31,30 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 hour", ts: str
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def open_runs(days: DataFrame, threshold: float, least: int) -> DataFrame:
+def open_runs(days: DataFrame, threshold: float, least: int, late: int = 0) -> DataFrame:
     """Runs of days above a threshold as they close: cell, start, end, length.
 
-    days: cell, t_idx, v in order of t_idx; the state is one open run a cell.
+    days: cell, t_idx, v.  A cell's days up to its newest less `late` are settled: they may come in any order
+    before that, and are left out after it.  A run closes when a later day is settled.  The state of a cell is
+    its open run and the hot days of the last `late`; cells are those of a grid, so states are not timed out.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last = state.get if state.exists else (-1, -1)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("t_idx").itertuples():
-            hot = row.v is not None and row.v == row.v and row.v > threshold
-            if start >= 0 and (not hot or row.t_idx != last + 1):
-                if last - start + 1 >= least:
-                    out.append((key[0], start, last, last - start + 1))
-                start = -1
-            if hot:
-                start, last = (row.t_idx if start < 0 else start), row.t_idx
-        state.update((int(start), int(last)))
+        start, last, settled, waiting = state.get if state.exists else (-1, -1, None, [])
+        part = pd.concat(list(frames))
+        t, v = part["t_idx"].to_numpy("int64"), part["v"].to_numpy("float64", na_value=np.nan)
+        newest = int(t.max()) - late if settled is None else max(settled, int(t.max()) - late)
+        fresh = t[(v > threshold) & (t > (t.min() - 1 if settled is None else settled))]
+        hot = np.unique(np.concatenate([np.asarray(waiting, "int64"), fresh]))
+        now, waiting = hot[hot <= newest], hot[hot > newest]
+        cuts = np.flatnonzero(np.diff(now) > 1) + 1
+        runs = [(int(r[0]), int(r[-1])) for r in np.split(now, cuts) if len(r)]
+        if start >= 0:
+            runs = [(start, runs[0][1]), *runs[1:]] if runs and runs[0][0] == last + 1 else [(start, last), *runs]
+        start, last = runs.pop() if runs and runs[-1][1] == newest else (-1, -1)
+        state.update((start, last, newest, [int(x) for x in waiting]))
+        out = [(key[0], a, b, b - a + 1) for a, b in runs if b - a + 1 >= least]
         yield pd.DataFrame(out, columns=["cell", "start", "end", "length"])
 
-    return days.groupBy("cell").applyInPandasWithState(step, "cell long, start long, end long, length long", "start long, last long", "append", GroupStateTimeout.NoTimeout)
+    kept = "start long, last long, settled long, waiting array<long>"
+    return days.groupBy("cell").applyInPandasWithState(step, "cell long, start long, end long, length long", kept, "append", GroupStateTimeout.NoTimeout)

@@ -205,6 +205,35 @@ def test_poles_are_merged(spark):
     assert got == {**dict.fromkeys(range(12), 0), 20: 20, 21: 20, 22: 22}
 
 
+def test_chains_of_points_are_one_group_whatever_their_order(spark):
+    rng = np.random.default_rng(9)
+    rows = [(5, 0.0, 10.0), (3, 0.0, 10.0 + 5e-5), (2, 0.0, 10.0 - 5e-5), (4, 0.0, 10.0 + 1e-4), (9, 0.0, 11.0)]
+    rows += [(100 + k, 50.0, 20.0 + 5e-5 * int(i)) for k, i in enumerate(rng.permutation(40))] + [(200, 50.0, 20.0 + 5e-5 * 41)]
+    got = {r.cell: r.group for r in regrid.merge_points(spark.createDataFrame(rows, "cell long, lat double, lon double")).collect()}
+    unit = np.array([(math.cos(math.radians(a)) * math.cos(math.radians(b)), math.cos(math.radians(a)) * math.sin(math.radians(b)), math.sin(math.radians(a))) for _, a, b in rows])
+    near = np.linalg.norm(unit[:, None] - unit[None], axis=2) <= 1e-6
+    for _ in rows:
+        near = near @ near
+    assert got == {c: min(rows[j][0] for j in np.flatnonzero(near[i])) for i, (c, _, _) in enumerate(rows)} and got[5] == got[4] == 2
+
+
+def test_gram_leaves_out_what_is_missing_and_refuses_long_records(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(c, t, float(rng.normal()), 1.0 + c % 3) for c in range(600) for t in range(7) if (c + t) % 4 and not (t == 6 and c != 11) and not (c == 11 and t == 0)]
+    got = {(r.i, r.j): r.g for r in stats.gram(spark.createDataFrame([*rows, (1, 3, None, 1.0)], "cell long, t int, x double, w double"), weight="w").collect()}
+    want = {}
+    for c in range(600):
+        own = [(t, x * w) for k, t, x, w in rows if k == c]
+        for i, a in own:
+            for j, b in own:
+                if i <= j:
+                    want[i, j] = want.get((i, j), 0.0) + a * b
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+    monkeypatch.setattr(stats, "MOST_STEPS", 6)
+    with pytest.raises(ValueError):
+        stats.gram(spark.createDataFrame(rows, "cell long, t int, x double, w double"))
+
+
 def test_boxes_and_polygons(spark):
     rows = spark.createDataFrame([(1, 0.0, 350.0), (2, 0.0, 10.0), (3, 0.0, 180.0), (4, 50.0, -5.0)], "cell long, lat double, lon double")
     assert [r.cell for r in rows.where(C.in_box("lat", "lon", -5, 5, 340, 20)).orderBy("cell").collect()] == [1, 2]

@@ -115,6 +115,16 @@ def test_open_runs_go_on_over_batches(spark, tmp_path):
     assert [(r.start, r.end, r.length) for r in got] == [(0, 3, 4)]
 
 
+def test_open_runs_wait_for_late_days(spark, tmp_path):
+    hot = {1: [0, 1, 2, 4, 5, 6, 7, 11, 12, 13], 2: [3, 4, 5]}
+    days = [(c, i, 9.0 if i in hot[c] else None) for c in hot for i in range(20)]
+    order = sorted(days, key=lambda d: d[1] + (d[1] * 7 % 3))  # at most two days behind the newest
+    batches = [order[k : k + 5] for k in range(0, len(order), 5)]
+    df = stream(spark, str(tmp_path), batches, "cell long, t_idx long, v double")
+    got = drain(spark, spells.open_runs(df, 5.0, 3, late=4), "late_runs_out")
+    assert sorted((r.cell, r.start, r.end, r.length) for r in got) == [(1, 0, 2, 3), (1, 4, 7, 4), (1, 11, 13, 3), (2, 3, 5, 3)]
+
+
 def test_units_both_ways(spark):
     from clinograph.functions.columns import UNITS, convert
 
