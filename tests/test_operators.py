@@ -268,8 +268,8 @@ def test_registered_alignments_cover_all_cells(spark, data_dir):
     whole = field.select("cell", "t", F.col("family").alias("source")).distinct().toPandas()
     families = whole.groupby("cell").source.nunique()
     common = {cell for (cell, _), n in whole.groupby(["cell", "t"]).source.nunique().items() if n == families[cell]}
-    assert len(common) > 1 and cells(catalog.QUERIES["j03_inner_align_cells"](spark, data_dir)) == common
-    assert cells(catalog.QUERIES["j04_outer_align_cells"](spark, data_dir)) == cells(field)
+    assert len(common) > 1 and cells(catalog.QUERIES["j03_inner_align"](spark, data_dir)) == common
+    assert cells(catalog.QUERIES["j04_outer_align"](spark, data_dir)) == cells(field)
 
 
 def test_bootstrap_draws_ten_thousand_times(spark, data_dir):
