@@ -122,10 +122,26 @@ def scatter_asked(sets: Sets, buckets: int, least: Callable[[np.ndarray], np.nda
         )
 
 
+def read_rows(table: pa.Table) -> tuple[pa.Table, list[dict]]:
+    """(parts' own rows, the others): both stay where the table holds them, arrays as buffers of it.
+
+    Own rows are large and most of a bucket's bytes, so each leaves as a batch of its own, not copied.
+    """
+    own = [i for i, key in enumerate(table.column("keys")) if key.is_valid]
+    names = ("sizes", "elements", "counts")
+    buffers = zip(table.column("part").to_pylist(), table.column("bucket").to_pylist(), table.column("keys"), *(table.column(c) for c in names))
+    others = [{"part": part, "bucket": bucket, "keys": None} | {c: x.as_buffer() for c, x in zip(names, row)} for part, bucket, key, *row in buffers if not key.is_valid]
+    return pa.concat_tables([table.slice(0, 0), *(table.slice(i, 1) for i in own)]), others
+
+
+def own_row(own: pa.Table) -> dict:
+    """A part's own row: its keys and, where they aren't null, its arrays as buffers."""
+    return {"keys": own.column("keys")[0].as_py()} | {c: own.column(c)[0].as_buffer() for c in ("sizes", "elements", "counts")}
+
+
 def answer_shared(table: pa.Table) -> pa.Table:
     """For one bucket: of each part the sets with elements that stand elsewhere too, and how many."""
-    rows = table.to_pylist()
-    asking = [r for r in rows if r["keys"] is None]
+    own, asking = read_rows(table)
     asked = [np.frombuffer(r["elements"], np.uint32) for r in asking]
     every = np.concatenate([*asked, *(np.frombuffer(r["counts"], np.uint32) for r in asking), np.zeros(0, np.uint32)])
     order = np.argsort(every)
@@ -134,24 +150,23 @@ def answer_shared(table: pa.Table) -> pa.Table:
     twice = np.zeros(len(every), bool)
     twice[order[1:][equal]] = True
     twice[order[:-1][equal]] = True
-    out, start = [r for r in rows if r["keys"] is not None], 0
+    out, start = [], 0
     for row, mine in zip(asking, asked):
         hit = twice[start : start + len(mine)]
         start += len(mine)
         owner, times = np.unique(from_unary(row["sizes"], len(mine))[hit], return_counts=True)
         if len(owner):
             out.append(row | {"sizes": owner.astype(np.uint32).tobytes(), "elements": None, "counts": times.astype(np.uint32).tobytes()})
-    return pa.Table.from_pylist(out, PACKED_SCHEMA)
+    return pa.concat_tables([own, pa.Table.from_pylist(out, table.schema)])
 
 
 def reached(table: pa.Table) -> pa.Table:
     """For one part: the keys of the sets that share as many elements as they must."""
-    rows = table.to_pylist()
-    own = next(r for r in rows if r["keys"] is not None)
+    own, told = read_rows(table)
+    own = own_row(own)
     lacking = np.frombuffer(own["sizes"], np.int32).astype(np.int64)
-    for r in rows:
-        if r["keys"] is None:
-            lacking[np.frombuffer(r["sizes"], np.uint32)] -= np.frombuffer(r["counts"], np.uint32)
+    for r in told:
+        lacking[np.frombuffer(r["sizes"], np.uint32)] -= np.frombuffer(r["counts"], np.uint32)
     return pa.table({"v": pa.array([own["keys"][KEY * i : KEY * i + KEY] for i in np.flatnonzero(lacking <= 0)], pa.binary())})
 
 
@@ -183,28 +198,26 @@ def scatter_counted(sets: Sets, buckets: int) -> Iterator[pa.RecordBatch]:
 
 def answer_counted(table: pa.Table) -> pa.Table:
     """For one bucket: of each part the elements that several sets hold, and how many do."""
-    rows = table.to_pylist()
-    asking = [r for r in rows if r["keys"] is None]
+    own, asking = read_rows(table)
     elements = [np.frombuffer(r["elements"], np.uint64) for r in asking]
     distinct, which = np.unique(np.concatenate([*elements, np.zeros(0, np.uint64)]), return_inverse=True)
     times = np.concatenate([*(np.frombuffer(r["counts"], np.uint32) for r in asking), np.zeros(0, np.uint32)])
     total = np.bincount(which, weights=times, minlength=len(distinct)).astype(np.uint32)[which]
-    out, start = [r for r in rows if r["keys"] is not None], 0
+    out, start = [], 0
     for row, mine in zip(asking, elements):
-        own = total[start : start + len(mine)]
+        times = total[start : start + len(mine)]
         start += len(mine)
-        hit = own > 1
+        hit = times > 1
         if hit.any():
-            out.append(row | {"elements": mine[hit].tobytes(), "counts": own[hit].tobytes()})
-    return pa.Table.from_pylist(out, PACKED_SCHEMA)
+            out.append(row | {"elements": mine[hit].tobytes(), "counts": times[hit].tobytes()})
+    return pa.concat_tables([own, pa.Table.from_pylist(out, table.schema)])
 
 
 def sets_of_part(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """(keys, offsets, elements, holders, further numbers a row each) of one part's sets."""
-    rows = table.to_pylist()
-    own = next(r for r in rows if r["keys"] is not None)
+    own, told = read_rows(table)
+    own = own_row(own)
     sizes, values = np.frombuffer(own["sizes"], np.int64), np.frombuffer(own["elements"], np.uint64)
-    told = [r for r in rows if r["keys"] is None]
     elements = np.concatenate([*(np.frombuffer(r["elements"], np.uint64) for r in told), np.zeros(0, np.uint64)])
     times = np.concatenate([*(np.frombuffer(r["counts"], np.uint32) for r in told), np.zeros(0, np.uint32)])
     order = np.argsort(elements)

@@ -37,8 +37,9 @@ GROUP_CONTEXTS = 2000
 SPLITS = (6, 48)
 #: Texts chosen by a broadcast of their keys at most; above, the choice shuffles.
 BROADCAST_KEYS = 500_000
-#: Positions that one kernel call takes of a text.
-SEGMENT = 1 << 22
+#: Positions that one kernel call takes of a text, and bytes of several texts.  It holds a dozen numbers for each.
+SEGMENT = 1 << 20
+SLICE_BYTES = 1 << 18
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -261,7 +262,7 @@ def repeated_windows(texts: DataFrame, length: int, units: Units = BYTES, most_c
 
     def text_anchors(batches: Iterator[pa.RecordBatch]) -> holders.Sets:
         for batch in batches:
-            for part in slices(batch, "b"):
+            for part in slices(batch, "b", SLICE_BYTES):
                 values, offsets, *_ = units.read(*flat_bytes(part.column("b")))
                 made = anchors_of_text(values, length, gram) if part.num_rows == 1 else [anchors(values, offsets, length, gram)]
                 made = [np.concatenate(x) for x in zip(*made)]
